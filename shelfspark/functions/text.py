@@ -133,3 +133,14 @@ def contains_any(c: Column, words: list[str] | tuple[str, ...]) -> Column:
 
 def literal_pattern(text: str) -> str:
     return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in text)
+
+
+_FOLD_TABLE = {ord(a): b for a, b in zip(ACCENTED, PLAIN, strict=False)} | {
+    **{code: None for code in range(0x300, 0x370)},
+    **{ord(a): b for a, b in (("æ", "ae"), ("Æ", "Ae"), ("ß", "ss"))},
+}
+
+
+def fold_text(text: str) -> str:
+    """:func:`fold` for a literal parameter."""
+    return text.translate(_FOLD_TABLE).lower().strip(WS_LIST)

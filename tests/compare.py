@@ -16,6 +16,9 @@ import duckdb
 TESTDATA = "/root/testdata"
 
 
+timings: dict[str, float] = {}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
@@ -49,8 +52,10 @@ def as_bag(columns, rows):
 
 def compare(spark, con, name, query, sql, sf_dir):
     """None when equal, otherwise a short description of the difference."""
+    start = time.time()
     df = query(spark, sf_dir)
     got_cols, got = as_bag(df.columns, [tuple(r) for r in df.collect()])
+    timings[name] = time.time() - start
     if sql is None:
         return None if sum(got.values()) > 0 else "no rows"
     result = con.execute(sql)
@@ -87,7 +92,7 @@ def main(argv):
             problem = f"{type(error).__name__}: {str(error)[:1200]}"
         bad += problem is not None
         mark = "ok  " if problem is None else "BAD "
-        print(f"{mark}{name} {time.time() - start:.2f}s{'' if name in oracles else ' (rows only)'}", flush=True)
+        print(f"{mark}{name} {time.time() - start:.2f}s (spark {timings.get(name, 0):.2f}s){'' if name in oracles else ' (rows only)'}", flush=True)
         if problem:
             print("   ", problem, flush=True)
     print(f"{bad} differing")
