@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspark.functions.text import (
     ascii_only,
@@ -97,7 +98,7 @@ def _grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
 
 
-def _matches_joined(books: DataFrame, specs: DataFrame) -> DataFrame:
+def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Matches of any number of queries: equi-join on one short piece of the longest word, then verify.
 
     The longest word of a query must occur in the field, so the piece it starts with must too;
@@ -108,7 +109,7 @@ def _matches_joined(books: DataFrame, specs: DataFrame) -> DataFrame:
     probes = words.filter(F.size("_words") > 0).select(
         "query_id", "tier", "field", "_words", F.substring(longest, 1, GRAM).alias("_gram"), fold("query").alias("_whole")
     )
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("_text")) for f in FIELDS])
+    texts = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("_text")) for f in fields])
     pieces = books.select("*", F.inline(texts)).withColumn("_gram", F.explode(_grams(F.col("_text"))))
     contained = F.forall("_words", lambda w: F.col("_text").contains(w))
     verified = F.when(F.col("field") == "DATE1", F.col("_text") == F.col("_whole")).otherwise(contained)
@@ -116,10 +117,11 @@ def _matches_joined(books: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def _limited(matches: DataFrame, limit: int) -> DataFrame:
-    """First row per title and author within each query, then the first ``limit`` of them."""
+    """First row per title and author within each query and tier, then the first ``limit`` of them."""
     title_author = F.concat_ws("|", trim_ws(F.lower("title")), trim_ws(F.lower("author")))
-    unique = first_per_key(matches.withColumn("_key", title_author), ["query_id", "_key"], ["ord", "id"]).drop("_key")
-    return unique if limit == FETCH_ALL else top_per_key(unique, ["query_id"], ["ord", "id"], limit)
+    within = ["query_id", "tier"]
+    unique = first_per_key(matches.withColumn("_key", title_author), [*within, "_key"], ["ord", "id"]).drop("_key")
+    return unique if limit == FETCH_ALL else top_per_key(unique, within, ["ord", "id"], limit)
 
 
 def catalog_search(
@@ -134,7 +136,7 @@ def catalog_search(
         raise ValueError(f"unknown field {field}; use one of {FIELDS}")
     if isinstance(queries, DataFrame):
         specs = queries.select("query_id", F.lit(0).alias("tier"), F.lit(field).alias("field"), "query")
-        matches = _matches_joined(books, specs)
+        matches = _matches_joined(books, specs, (field,))
     else:
         matches = _matches_literal(books, [(qid, 0, field, text) for qid, text in queries])
     return _limited(matches, limit).drop("tier")
@@ -163,7 +165,7 @@ def catalog_search_cascade(
             )
             rows = F.when(F.col("kind") == kind, steps).otherwise(rows)
         specs = queries.select("query_id", F.inline(rows))
-        matches = _matches_joined(books, specs)
+        matches = _matches_joined(books, specs, ("TITLE", "AU", "SUBJECT", "G"))
         asked = queries.filter(F.col("kind") == "author").select("query_id", F.col("query").alias("_asked"))
         ranked = _winning_tier(matches, limit).join(asked, "query_id", "left")
         return _verified_authors(ranked, F.col("_asked")).drop("_asked")
@@ -180,8 +182,13 @@ def catalog_search_cascade(
 
 
 def _winning_tier(matches: DataFrame, limit: int) -> DataFrame:
+    """Rows of the first non-empty tier; with a limit every tier is cut down before they are compared."""
+    kept = _limited(matches, limit)
+    if limit != FETCH_ALL:
+        first = F.min("tier").over(Window.partitionBy("query_id"))
+        return kept.withColumn("_first", first).filter(F.col("tier") == F.col("_first")).drop("_first")
     best = matches.groupBy("query_id").agg(F.min("tier").alias("tier"))
-    return _limited(matches.join(best, ["query_id", "tier"]), limit)
+    return kept.join(best, ["query_id", "tier"])
 
 
 def _verified_authors(found: DataFrame, asked: Column) -> DataFrame:

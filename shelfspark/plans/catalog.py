@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from shelfspark.plans import audit_queries, guard_queries, prompt_queries, search_queries, text_queries  # noqa: F401
+from shelfspark.plans import (
+    audit_queries,
+    guard_queries,
+    prompt_queries,
+    search_queries,
+    text_queries,
+    webindex_queries,
+)  # noqa: F401
 from shelfspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
