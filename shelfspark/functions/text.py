@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS_CHARS = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -21,6 +21,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later filters read as values.
+
+    A filter on a plain projected column is pushed below it by copying the expression into every
+    place the filter mentions it; a generated column stops that for costly expressions.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _accent_table() -> tuple[str, str]:
     """Latin letters whose canonical decomposition is one base letter plus combining marks."""
     source, target = [], []

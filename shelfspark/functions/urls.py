@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import _col, contains_any
+from shelfspark.functions.text import _col, computed_once, contains_any
 
 ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 
@@ -42,12 +42,15 @@ def url_path(c: Column | str) -> Column:
 
 def normalize_url(c: Column | str) -> Column:
     """Drop query and fragment, lower-case scheme and host, drop default ports, '/' for no path."""
-    origin = F.regexp_replace(url_origin(c), r"^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
     return F.when(url_origin(c) == "", F.regexp_replace(_col(c), r"(?s)[?#].*$", "")).otherwise(
-        F.concat(origin, url_path(c))
+        F.concat(_without_default_port(url_origin(c)), url_path(c))
     )
 
 
+def _without_default_port(origin: Column) -> Column:
+    return F.regexp_replace(origin, r"^(http://[^/]*):80$|^(https://[^/]*):443$", "$1$2")
+
+
 def relevant_url(c: Column | str) -> Column:
     url = F.lower(_col(c))
     shallow = F.size(F.split(_col(c), "/")) <= 4
@@ -85,18 +88,29 @@ def _drop_dot_segments(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.array_join(folded, "/"), tail)).otherwise(path)
 
 
-def resolve_url(href: Column | str, base: Column | str) -> Column:
-    """Absolute, normalised form of ``href`` seen on page ``base``; null for non-web targets."""
-    link = F.regexp_replace(F.trim(_col(href)), r"(?s)[?#].*$", "")
-    origin = url_origin(base)
-    folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    absolute = (
-        F.when(link.rlike(r"(?i)^https?://"), F.concat(url_origin(link), _drop_dot_segments(url_path(link))))
-        .when(link.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:"), F.lit(None))
-        .when(link == "", _col(base))
-        .when(link.startswith("//"), F.concat(F.regexp_extract(origin, r"^[^:]*:", 0), link))
-        .when(link.startswith("/"), F.concat(origin, _drop_dot_segments(link)))
-        .otherwise(F.concat(origin, _drop_dot_segments(F.concat(folder, link))))
+def resolve_links(df: DataFrame, href: str, base: str, name: str) -> DataFrame:
+    """Adds the absolute, normalised target of ``href`` on page ``base``; null for non-web targets.
+
+    Built in steps, so that each step is computed once per row.
+    """
+    link = F.regexp_replace(F.trim(F.col(href)), r"(?s)[?#].*$", "")
+    parts = df.withColumns(
+        {"_link": link, "_origin": url_origin(base), "_folder": F.regexp_replace(url_path(base), r"[^/]*$", "")}
+    )
+    raw = F.col("_link")
+    web = raw.rlike(r"(?i)^https?://")
+    foreign = ~web & raw.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:")
+    schemeless = F.concat(F.regexp_extract("_origin", r"^[^:]*:", 0), raw)
+    full = F.when(raw.startswith("//"), schemeless).otherwise(raw)
+    parts = parts.withColumns({"_full": full, "_absolute": web | raw.startswith("//"), "_foreign": foreign})
+    origin = F.when(F.col("_absolute"), _without_default_port(url_origin("_full"))).otherwise(F.col("_origin"))
+    path = (
+        F.when(F.col("_absolute"), url_path("_full"))
+        .when(raw == "", url_path(base))
+        .when(raw.startswith("/"), raw)
+        .otherwise(F.concat("_folder", raw))
     )
-    plain = normalize_url(absolute)
-    return F.concat(url_origin(plain), _percent_encode(url_path(plain)))
+    parts = parts.withColumns({"_host": origin, "_path": path})
+    parts = computed_once(parts, {"_clean": _drop_dot_segments(F.col("_path"))})
+    target = F.when(~F.col("_foreign"), F.concat("_host", _percent_encode(F.col("_clean"))))
+    return computed_once(parts, {name: target}).drop("_clean", "_link", "_origin", "_folder", "_full", "_absolute", "_foreign", "_host", "_path")

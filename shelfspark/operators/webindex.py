@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import contains_any, trim_ws
-from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_url, url_origin
+from shelfspark.functions.text import computed_once, contains_any, trim_ws
+from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_links, url_origin
 from shelfspark.operators.skew import first_per_key
 from shelfspark.session import cut_lineage
 from shelfspark.sources.html_pages import decode_entities
@@ -33,18 +33,17 @@ NAVIGATION_TEXT = (
 BOILERPLATE_WORDS = ("cookies", "gdpr", "ochrana osobních údajů")
 SHORT_BOILERPLATE_CHARS = 500
 
-HREF = r"(?i)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+HREF = r"(?i)<a\s[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct (src, dst) edges to same-origin pages worth fetching."""
-    hrefs = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(i)) for i in (1, 2, 3)])
-    found = pages.select(
-        normalize_url(url).alias("src"), F.explode(F.array_distinct(F.filter(hrefs, lambda h: h != ""))).alias("href")
-    )
-    resolved = found.select("src", resolve_url(decode_entities(F.col("href")), F.col("src")).alias("dst"))
+    quoted = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1)))
+    found = pages.select(normalize_url(url).alias("src"), F.explode(quoted).alias("_quoted"))
+    hrefs = found.select("src", decode_entities(F.btrim("_quoted", F.lit("\"'"))).alias("href")).filter("href <> ''")
+    resolved = resolve_links(hrefs, "href", "src", "dst")
     same = url_origin("dst") == url_origin("src")
-    return resolved.filter(F.col("dst").isNotNull() & same & fetchable_url("dst")).distinct()
+    return resolved.filter(same & fetchable_url("dst")).select("src", "dst").distinct()
 
 
 def reachable(
@@ -117,7 +116,7 @@ def chunk_sections(
     """Chunks of every section, each with page and heading in front; long sections split on sentences.
 
     The fold runs over sentence lengths and yields cut positions only; texts are put together
-    once afterwards. No shuffle: a page is chunked where it is read.
+    once afterwards. No shuffle and one pass: a page is chunked where it is read.
     """
     contact = F.lower("url").contains("/kontakt")
     departments = F.when(contact, _departments(F.col("sections")))
@@ -126,11 +125,11 @@ def chunk_sections(
         .select("url", "path", "title", "_departments", F.posexplode("sections").alias("_i", "_s"))
         .select(
             "url", "path", "title", F.col("_i").alias("section_ord"), F.col("_s.heading").alias("heading"),
-            F.col("_s.level").alias("level"), trim_ws("_s.content").alias("content"),
+            F.col("_s.level").alias("level"), F.col("_s.content").alias("_raw"),
             F.get("_departments", F.col("_i")).alias("_department"),
         )
-        .filter(F.col("content") != "")
     )
+    sections = computed_once(sections, {"content": trim_ws("_raw")}).drop("_raw").filter(F.col("content") != "")
     department = F.when(
         (F.col("level") == 3) & F.col("_department").isNotNull(),
         F.concat(F.lit("Oddělení: "), F.col("_department"), F.lit("\n")),
@@ -140,34 +139,27 @@ def chunk_sections(
     head_later = F.concat(F.col("_prefix"), F.col("heading"), F.lit(CONTINUED + "\n\n"))
     headed = sections.withColumn("_prefix", prefix).withColumn("_head", head).withColumn("_later", head_later)
     long = F.length("content") > max_chars
-
-    short_part = headed.filter(~long).select(
-        "*", F.lit(0).alias("chunk_index"), F.concat("_head", "content").alias("text"), F.col("content").alias("body")
+    split = computed_once(
+        headed.withColumn("_long", long),
+        {"_parts": F.when(long, _sentences(F.col("content"), keep_tail)).otherwise(F.array("content"))},
+    )
+    cuts = _cut_points(
+        F.transform("_parts", lambda s: F.length(s)), F.length("_head"), F.length("_later"), min_chars, max_chars
     )
     split = (
-        headed.filter(long)
-        .withColumn("_parts", _sentences(F.col("content"), keep_tail))
-        .withColumn(
-            "_cuts",
-            _cut_points(
-                F.transform("_parts", lambda s: F.length(s)), F.length("_head"), F.length("_later"), min_chars, max_chars
-            ),
-        )
+        split.withColumn("_cuts", F.when(F.col("_long"), cuts).otherwise(F.array().cast("array<int>")))
         .withColumn("_starts", F.concat(F.array(F.lit(0)), F.col("_cuts")))
         .select("*", F.posexplode("_starts").alias("chunk_index", "_from"))
         .withColumn("_to", F.coalesce(F.get("_starts", F.col("chunk_index") + 1), F.size("_parts")))
-        .withColumn("body", F.array_join(F.slice("_parts", F.col("_from") + 1, F.col("_to") - F.col("_from")), " "))
-        .withColumn(
-            "text",
-            trim_ws(F.concat(F.when(F.col("chunk_index") == 0, F.col("_head")).otherwise(F.col("_later")), F.col("body"))),
-        )
-        .filter(
-            (F.col("chunk_index") < F.size("_cuts"))
-            | (F.length("text") > F.length("_prefix") + F.length("heading") + 10)
-        )
-        .select(*short_part.columns)
     )
-    chunks = short_part.unionByName(split)
+    body = F.array_join(F.slice("_parts", F.col("_from") + 1, F.col("_to") - F.col("_from")), " ")
+    header = F.when(F.col("chunk_index") == 0, F.col("_head")).otherwise(F.col("_later"))
+    split = computed_once(split, {"body": body})
+    chunks = computed_once(split, {"text": trim_ws(F.concat(header, F.col("body")))}).filter(
+        ~F.col("_long")
+        | (F.col("chunk_index") < F.size("_cuts"))
+        | (F.length("text") > F.length("_prefix") + F.length("heading") + 10)
+    )
     if valid_only:
         chunks = chunks.filter(valid_chunk(F.col("url"), F.col("text"), F.col("body")))
     return chunks.select(
