@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfspark.functions.grams import grams, lead_gram
 from shelfspark.functions.text import (
     ascii_only,
     clean_title,
@@ -29,7 +30,6 @@ DESCRIPTION_CHARS = 150
 FREE_STATUS = "volný"
 DETAIL_URL = "https://catalogue.example/detail-{id}"
 FIELDS = ("TITLE", "AU", "SUBJECT", "G", "DATE1", "PUBL")
-GRAM = 3
 
 # The order in which each kind of search falls back to other indexes.
 TIERS = {
@@ -87,17 +87,6 @@ def _matches_literal(books: DataFrame, specs: list[tuple]) -> DataFrame:
     return texts.select(*books.columns, F.inline(F.array_compact(F.array(*hits))))
 
 
-def _grams(text: Column) -> Column:
-    """All distinct substrings of one to three characters."""
-    def of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(
-            F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
-
-    return F.array_distinct(F.concat(*[of(n) for n in range(1, GRAM + 1)]))
-
-
 def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Matches of any number of queries: equi-join on one short piece of the longest word, then verify.
 
@@ -107,10 +96,10 @@ def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...])
     words = specs.withColumn("_words", F.filter(F.split(fold("query"), r"\s+"), lambda w: w != ""))
     longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     probes = words.filter(F.size("_words") > 0).select(
-        "query_id", "tier", "field", "_words", F.substring(longest, 1, GRAM).alias("_gram"), fold("query").alias("_whole")
+        "query_id", "tier", "field", "_words", lead_gram(longest).alias("_gram"), fold("query").alias("_whole")
     )
     texts = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("_text")) for f in fields])
-    pieces = books.select("*", F.inline(texts)).withColumn("_gram", F.explode(_grams(F.col("_text"))))
+    pieces = books.select("*", F.inline(texts)).withColumn("_gram", F.explode(grams(F.col("_text"))))
     contained = F.forall("_words", lambda w: F.col("_text").contains(w))
     verified = F.when(F.col("field") == "DATE1", F.col("_text") == F.col("_whole")).otherwise(contained)
     return pieces.join(probes, ["field", "_gram"]).filter(verified).select(*books.columns, "query_id", "tier")

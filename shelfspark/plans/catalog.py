@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from shelfspark.plans import (
     audit_queries,
+    directory_queries,
     guard_queries,
     prompt_queries,
     search_queries,
     text_queries,
+    vector_queries,
     webindex_queries,
 )  # noqa: F401
 from shelfspark.plans.registry import ORACLES, QUERIES
