@@ -6,6 +6,7 @@ from shelfspark.plans import (
     audit_queries,
     directory_queries,
     guard_queries,
+    ingest_queries,
     prompt_queries,
     search_queries,
     text_queries,

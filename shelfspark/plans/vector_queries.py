@@ -63,9 +63,10 @@ _BOOSTS = (("/en/", ("vedení", "ředitel"), 0.4), ("/fr/", (), 0.2), ("spam-far
 
 @query(
     "d4_search_content",
-    _BASE_SQL + _top_sql("l2", 25)
-    + f""", c AS (SELECT t.query_id, t.id, distance, url, html, CASE WHEN t.query_id % 2 = 0 THEN 'kdo je ve Vedení' ELSE 'kniha' END AS query_text
-         FROM top t JOIN pages ON page_id = t.id),
+    _BASE_SQL
+    + """, top AS (SELECT query_id, id, l2 AS distance, url, html FROM pairs JOIN pages ON page_id = id
+         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY l2, id) <= 25),
+       c AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'kdo je ve Vedení' ELSE 'kniha' END AS query_text FROM top),
        u AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, url, html[1:100] ORDER BY distance, id) = 1),
        s AS (SELECT *, 1 - distance + CASE WHEN contains(url, '/en/') AND contains(lower(query_text), 'vedení') THEN 0.4
           WHEN contains(url, '/fr/') THEN 0.2 WHEN contains(url, 'spam-farm') THEN -0.5 WHEN contains(url, '/es/') THEN 0.05 ELSE 0 END AS score FROM u)
@@ -74,13 +75,10 @@ _BOOSTS = (("/en/", ("vedení", "ředitel"), 0.4), ("/fr/", (), 0.2), ("spam-far
 )
 def content(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", F.col("html").alias("text"))
-    chunks = _items(spark, sf).join(pages, "id", "left")
     asked = _centroids(spark, sf).withColumn(
         "query_text", F.when(F.col("query_id") % 2 == 0, "kdo je ve Vedení").otherwise("kniha")
     )
-    # Over-fetch looks at all vectors; those without a page drop out when the texts are joined.
-    near = V._top(chunks.select("id", "vector"), asked, 25, "l2").select("query_id", "id", "distance")
-    found = V.rerank(near.join(pages, "id"), asked, 5, _BOOSTS)
+    found = V.search_content(_items(spark, sf).join(pages, "id"), asked, 5, _BOOSTS)
     return found.select("query_id", "id", "url", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -80,7 +80,7 @@ def main(argv):
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, oracles, bad = duck(sf_dir), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
         if wanted and not any(name.startswith(w) for w in wanted):
