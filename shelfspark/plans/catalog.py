@@ -8,6 +8,7 @@ from shelfspark.plans import (
     guard_queries,
     ingest_queries,
     prompt_queries,
+    rate_queries,
     search_queries,
     text_queries,
     vector_queries,

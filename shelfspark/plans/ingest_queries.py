@@ -15,8 +15,8 @@ from shelfspark.sources import csv_files, marc
 _SUB = "struct<_VALUE:string,_code:string>"
 
 
-def _marc_xml(spark, sf):
-    """Every document's metadata written as a MARC-XML record."""
+def _marc_rows(spark, sf):
+    """Every document's metadata as a MARC record in the reader's own shape."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     doc, size = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
     lang, source = F.col("lang"), F.col("source")
@@ -70,7 +70,7 @@ def _marc_xml(spark, sf):
         ).alias("controlfield"),
         fields.alias("datafield"),
     )
-    return d.select(F.concat(F.lit("oai:CPK:"), doc).alias("identifier"), F.to_xml(record).alias("xml"))
+    return d.select(F.concat(F.lit("oai:CPK:"), doc).alias("identifier"), record.alias("marc"))
 
 
 _MARC_SQL = """WITH d AS (SELECT d.*, quality, toxic, coalesce(quality = 1, false) AS good, coalesce(quality = 0, false) AS bad, coalesce(toxic = 1, false) AS tox,
@@ -91,20 +91,19 @@ _MARC_SQL = """WITH d AS (SELECT d.*, quality, toxic, coalesce(quality = 1, fals
 
 @query("b1_marc_records", _MARC_SQL)
 def marc_records(spark, sf):
-    return B.marc_records(_marc_xml(spark, sf).select("identifier", marc.parse_marc("xml").alias("marc")))
+    """Rendered to XML text and parsed back from the column."""
+    xml = _marc_rows(spark, sf).select("identifier", F.to_xml("marc").alias("xml"))
+    return B.marc_records(xml.select("identifier", marc.parse_marc("xml").alias("marc")))
 
 
 @query("b1_marc_files", _MARC_SQL)
 def marc_files(spark, sf):
     """The same records through XML files in the shared folder and the file reader."""
     path = scratch_path(spark, "marc")
-    record = F.regexp_replace(F.regexp_replace("xml", "^<ROW>", "<record>"), "</ROW>$", "</record>")
-    envelope = F.concat(
-        F.lit("<envelope><header><identifier>"), "identifier", F.lit("</identifier></header><metadata>"), record,
-        F.lit("</metadata></envelope>"),
+    envelopes = _marc_rows(spark, sf).select(
+        F.struct("identifier").alias("header"), F.struct(F.col("marc").alias("record")).alias("metadata")
     )
-    rows = _marc_xml(spark, sf).select(envelope.alias("value"))
-    rows.write.text(path)
+    envelopes.write.format("xml").option("rootTag", "envelopes").option("rowTag", "envelope").save(path)
     return B.marc_records(marc.read_envelopes(spark, path, "envelope"))
 
 
