@@ -56,11 +56,13 @@ def trim_ws(c: Column | str) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    out = _col(c)
+    """Letters without diacritics. Pure ASCII text, told by its byte length, is passed through."""
+    col = _col(c)
+    out = col
     # Ligatures that become two letters.
     for char, plain in (("æ", "ae"), ("Æ", "Ae"), ("ß", "ss")):
         out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.translate(out, ACCENTED, PLAIN)
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(F.translate(out, ACCENTED, PLAIN))
 
 
 def fold(c: Column | str, lower: bool = True, trim: bool = True) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.grams import grams, lead_gram
 from shelfspark.functions.text import WS, _col, fold, fold_text, trim_ws
-from shelfspark.operators.skew import first_per_key, nest_in_parts
+from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts
 
 # Contact scores.
 EXACT_NAME, PARTIAL_NAME, ROLE_SCORE, DEPARTMENT_SCORE = 100, 10, 5, 5
@@ -118,6 +118,15 @@ def nest_schedule(rows: DataFrame, part_size: int = 1000) -> DataFrame:
     Days keep first-seen order and slots theirs; rows without a slot add nothing.
     """
     filled = rows.filter(F.col("slot").isNotNull() & (F.col("slot") != ""))
+    if groups_within(filled, ["branch"], part_size):
+        seen = filled.groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("ord", "day", "slot"))).alias("_seen"))
+        days = F.array_distinct(F.transform("_seen", lambda s: s["day"]))
+
+        def hours(day: Column) -> Column:
+            return F.transform(F.filter("_seen", lambda s: s["day"] == day), lambda s: s["slot"])
+
+        schedule = F.transform(days, lambda d: F.struct(d.alias("day"), hours(d).alias("hours")))
+        return seen.select("branch", F.lit(0).cast("bigint").alias("part"), schedule.alias("schedule"))
     bucket = F.floor(F.col("ord") / ORD_BUCKET)
     slots = nest_in_parts(
         filled, ["branch", "day"], ["ord", "slot"], bucket, F.struct("slot", "ord"), "_slots", part_size

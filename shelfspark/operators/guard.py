@@ -61,34 +61,44 @@ def split_oversized(df: DataFrame, col: str, max_chars: int = MAX_INPUT_CHARS) -
     return df.withColumn("clean_text", sanitize_text(col)).withColumn("too_long", F.length("clean_text") > max_chars)
 
 
-def leak_pattern(phrases: tuple[str, ...] = LEAK_PHRASES, names: tuple[str, ...] = LEAK_NAMES) -> str:
-    any_case = "|".join(literal_pattern(p) for p in phrases)
-    return f"(?i:{any_case})|" + "|".join(names)
-
-
-def code_pattern(languages: tuple[str, ...] = CODE_LANGUAGES, markup: tuple[str, ...] = CODE_MARKUP) -> str:
-    return "(?i)```(?:" + "|".join(languages) + ")|" + "|".join(markup)
+def leaks_instructions(
+    text: Column, phrases: tuple[str, ...] = LEAK_PHRASES, names: tuple[str, ...] = LEAK_NAMES
+) -> Column:
+    """Any phrase in any letter case, or any name as written. Plain substring tests, no regex."""
+    lowered, hit = F.lower(text), F.lit(False)
+    for phrase in phrases:
+        hit = hit | lowered.contains(phrase.lower())
+    for name in names:
+        hit = hit | text.contains(name)
+    return hit
+
+
+def contains_code(
+    text: Column, languages: tuple[str, ...] = CODE_LANGUAGES, markup: tuple[str, ...] = CODE_MARKUP
+) -> Column:
+    """A fence with a language, or page markup; the patterns only run where their first character occurs."""
+    fence = text.contains("```") & text.rlike("(?i)```(?:" + "|".join(literal_pattern(x) for x in languages) + ")")
+    return fence | (text.contains("<") & text.rlike("(?i)" + "|".join(markup)))
 
 
 def guard_output(
     df: DataFrame,
     col: str,
     max_chars: int = MAX_OUTPUT_CHARS,
-    leaks: str | None = None,
-    code: str | None = None,
+    leaks=leaks_instructions,
+    code=contains_code,
     fallback: str = FILTERED_TEXT,
 ) -> DataFrame:
     """Cut over-long answers, replace leaking or code answers, and say why.
 
-    The patterns see the cut text. Letter case folds for all alphabets.
+    ``leaks`` and ``code`` turn the cut text into a condition.
     """
     text = F.col(col)
-    leaks = (leaks or leak_pattern()).replace("(?i:", "(?iu:")
     too_long = F.length(text) > max_chars
     cut = F.when(too_long, F.concat(F.substring(text, 1, max_chars), F.lit(CUT_MARKER))).otherwise(text)
     reason = (
-        F.when(F.col("_cut").rlike(leaks), "leak")
-        .when(F.col("_cut").rlike(code or code_pattern()), "code")
+        F.when(leaks(F.col("_cut")), "leak")
+        .when(code(F.col("_cut")), "code")
         .when(F.length(col) > max_chars, "truncated")
     )
     checked = df.withColumn("_cut", cut).withColumn("reason", reason)

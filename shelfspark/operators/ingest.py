@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import WS_LIST, _col, missing_to_null, trim_ws
+from shelfspark.functions.text import WS_LIST, _col, computed_once, missing_to_null, trim_ws
 from shelfspark.operators.skew import first_per_key
 
 RECORD_COLUMNS = (
@@ -19,62 +19,46 @@ UNKNOWN_TITLE = "Neznámý název"
 HARVEST_DAYS = 7
 
 
-def _fields(marc: Column, keep) -> Column:
-    return F.filter(marc["datafield"], lambda f: keep(f["_tag"]))
-
-
-def _values(fields: Column, code: str) -> Column:
-    """Non-empty texts of one subfield code, in document order."""
+def _flat(marc: Column) -> Column:
+    """All subfields of a record in document order: tag, code, text."""
     per_field = F.transform(
-        fields,
+        F.filter(marc["datafield"], lambda f: f["subfield"].isNotNull()),
         lambda f: F.transform(
-            F.filter(f["subfield"], lambda s: (s["_code"] == code) & F.coalesce(s["_VALUE"] != "", F.lit(False))),
-            lambda s: s["_VALUE"],
+            f["subfield"],
+            lambda s: F.struct(f["_tag"].alias("tag"), s["_code"].alias("code"), F.nullif(s["_VALUE"], F.lit("")).alias("text")),
         ),
     )
-    return F.flatten(F.filter(per_field, lambda x: x.isNotNull()))
+    return F.coalesce(F.flatten(per_field), F.array().cast("array<struct<tag:string,code:string,text:string>>"))
 
 
-def _all(marc: Column, tag: str, code: str) -> Column:
-    none = F.array().cast("array<string>")
-    return F.coalesce(_values(_fields(marc, lambda t: t == tag), code), none)
+def _first(tag: str, code: str) -> Column:
+    """First subfield with that code over all repeats of the tag; null when empty or absent."""
+    return F.get(F.filter("_flat", lambda s: (s["tag"] == tag) & (s["code"] == code)), F.lit(0))["text"]
 
 
-def _first(marc: Column, tag: str, code: str) -> Column:
-    """First subfield with that code over all repeats of the tag; null when empty or absent."""
-    subfields = F.flatten(
-        F.transform(_fields(marc, lambda t: t == tag), lambda f: F.coalesce(f["subfield"], F.array().cast("array<struct<_VALUE:string,_code:string>>")))
-    )
-    hits = F.filter(subfields, lambda s: s["_code"] == code)
-    return F.nullif(F.get(hits, F.lit(0))["_VALUE"], F.lit(""))
-
-
-def _by_tag(marc: Column, low: int, high: int, codes: tuple[str, ...]) -> Column:
-    """Values of a tag range ordered by tag, then code, then document order."""
-    def numbered(code_rank: int, code: str) -> Column:
-        inside = _fields(marc, lambda t: t.rlike("^[0-9]{3}$") & (t.cast("int") >= low) & (t.cast("int") < high))
-        rows = F.transform(
-            inside,
-            lambda f, i: F.transform(
-                _values(F.array(f), code), lambda v, j: F.struct(f["_tag"].alias("t"), F.lit(code_rank).alias("c"), i.alias("i"), j.alias("j"), v.alias("v"))
-            ),
-        )
-        return F.flatten(rows)
+def _all(tags: tuple[str, ...], code: str) -> Column:
+    """Non-empty texts of one code, tag after tag, in document order within a tag."""
+    def of(tag: str) -> Column:
+        hits = F.filter("_flat", lambda s: (s["tag"] == tag) & (s["code"] == code) & s["text"].isNotNull())
+        return F.transform(hits, lambda s: s["text"])
 
-    merged = F.concat(*[numbered(n, c) for n, c in enumerate(codes)])
-    return F.coalesce(F.transform(F.array_sort(merged), lambda r: r["v"]), F.array().cast("array<string>"))
+    return F.concat(*[of(t) for t in tags])
 
 
-def marc_records(df: DataFrame, identifier: str = "identifier", marc: str = "marc") -> DataFrame:
-    """The 18 text columns of each MARC record; a missing value is the empty string."""
-    m = F.col(marc)
+def _by_tag(low: str, high: str, codes: tuple[str, ...]) -> Column:
+    """Non-empty texts of a range of numeric tags, ordered by tag, then code, then document order."""
+    def inside(s: Column) -> Column:
+        return s["tag"].between(low, high) & s["code"].isin(*codes) & s["text"].isNotNull() & s["tag"].rlike("^[0-9]{3}$")
 
-    def first(tag: str, code: str) -> Column:
-        return _first(m, tag, code)
+    placed = F.transform(
+        F.filter("_flat", inside), lambda s, i: F.struct(s["tag"].alias("tag"), s["code"].alias("code"), i.alias("at"), s["text"].alias("text"))
+    )
+    return F.transform(F.array_sort(placed), lambda s: s["text"])
 
-    def joined(separator: str, *parts: tuple[str, str]) -> Column:
-        return F.array_join(F.concat(*[_all(m, tag, code) for tag, code in parts]), separator)
 
+def marc_records(df: DataFrame, identifier: str = "identifier", marc: str = "marc") -> DataFrame:
+    """The 18 text columns of each MARC record; a missing value is the empty string."""
+    m, first = F.col("_marc"), _first
     field_008 = F.get(F.filter(m["controlfield"], lambda c: c["_tag"] == "008"), F.lit(0))["_VALUE"]
     language = F.when(F.length(field_008) > 38, trim_ws(F.substring(field_008, 36, 3)))
     title = F.concat(
@@ -89,23 +73,24 @@ def marc_records(df: DataFrame, identifier: str = "identifier", marc: str = "mar
         "Identifier": F.col(identifier),
         "Title": title,
         "Author": F.coalesce(first("100", "a"), first("110", "a"), first("111", "a")),
-        "Contributors": joined("; ", ("700", "a"), ("710", "a"), ("711", "a")),
+        "Contributors": F.array_join(_all(("700", "710", "711"), "a"), "; "),
         "Publisher": F.coalesce(old_publisher, new_publisher),
         "PublicationYear": year,
         "ISBN": first("020", "a"),
         "ISSN": first("022", "a"),
-        "Subjects": F.array_join(F.array_distinct(_by_tag(m, 600, 700, ("a", "x"))), "; "),
+        "Subjects": F.array_join(F.array_distinct(_by_tag("600", "699", ("a", "x"))), "; "),
         "Description": first("520", "a"),
         "Language": language,
-        "PhysicalDescription": joined(" ", ("300", "a"), ("300", "b"), ("300", "c")),
-        "Series": joined("; ", ("490", "a"), ("830", "a")),
-        "Notes": F.array_join(_by_tag(m, 500, 600, ("a",)), "; "),
+        "PhysicalDescription": F.array_join(F.concat(*[_all(("300",), code) for code in "abc"]), " "),
+        "Series": F.array_join(_all(("490", "830"), "a"), "; "),
+        "Notes": F.array_join(_by_tag("500", "599", ("a",)), "; "),
         "RecordType": m["leader"],
         "ContentType": first("336", "a"),
         "MediaType": first("337", "a"),
         "CarrierType": first("338", "a"),
     }
-    kept = df.filter(m.isNotNull())
+    parsed = computed_once(df, {"_marc": F.col(marc)}).filter(m.isNotNull())
+    kept = computed_once(parsed, {"_flat": _flat(m)})
     return kept.select(*[F.coalesce(columns[name], F.lit("")).alias(name) for name in RECORD_COLUMNS])
 
 

@@ -14,6 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LOOKUP_ROWS = 1000
+MAX_GROUP_ROWS = 1_000_000
+
+
+def groups_within(df: DataFrame, keys: list[str], most: int) -> bool:
+    """Whether no key holds more than ``most`` rows; one pass over the keys, combined before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).isEmpty()
 
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -31,12 +37,18 @@ def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str) -> DataFrame:
+def numbered(
+    df: DataFrame, keys: list[str], order: list, bucket: Column, name: str, max_group: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """1-based position of each row within its key.
 
-    ``bucket`` must be non-decreasing in ``order`` (a range of ids, a day); it bounds what one
-    task sorts. Only (key, bucket, count) rows meet per key.
+    Where every key is of checked moderate size this is a plain window. Beyond, ``bucket`` cuts
+    keys: it must be non-decreasing in ``order`` (a range of ids, a day) and bounds what one task
+    sorts; only (key, bucket, count) rows meet per key.
     """
+    if groups_within(df, keys, max_group):
+        plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, plain.cast("bigint"))
     cut = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -54,9 +66,18 @@ def numbered(df: DataFrame, keys: list[str], order: list, bucket: Column, name:
 
 
 def carry_forward(
-    df: DataFrame, keys: list[str], order: list, value: Column, bucket: Column, name: str
+    df: DataFrame,
+    keys: list[str],
+    order: list,
+    value: Column,
+    bucket: Column,
+    name: str,
+    max_group: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Latest non-null ``value`` strictly before each row of the same key."""
+    """Latest non-null ``value`` strictly before each row of the same key; ``bucket`` as in :func:`numbered`."""
+    if groups_within(df, keys, max_group):
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(before))
     cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
     carried = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     seen = (
@@ -88,8 +109,14 @@ def nest_in_parts(
     """Ordered arrays per key, at most ``part_size`` items per row.
 
     A key of ordinary size gives one row with ``part`` = 0; a hot key gives as many rows as it
-    needs, so nothing is dropped and no row grows without bound.
+    needs, so nothing is dropped and no row grows without bound. ``order`` is ascending columns.
     """
+    if groups_within(df, keys, part_size):
+        place = F.struct(*order, item.alias("item"))
+        whole = df.groupBy(*keys).agg(F.sort_array(F.collect_list(place)).alias("_items"))
+        return whole.select(
+            *keys, F.lit(0).cast("bigint").alias("part"), F.transform("_items", lambda x: x["item"]).alias(items_name)
+        )
     positions = numbered(df, keys, order, bucket, "_pos").withColumn(
         "part", F.floor((F.col("_pos") - 1) / part_size).cast("bigint")
     )

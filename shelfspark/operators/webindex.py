@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.text import computed_once, contains_any, trim_ws
+from shelfspark.functions.text import WS_LIST, computed_once, contains_any, trim_ws
 from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_links, url_origin
 from shelfspark.operators.skew import first_per_key
 from shelfspark.session import cut_lineage
@@ -83,9 +83,9 @@ def _departments(sections: Column) -> Column:
 
 def _sentences(content: Column, keep_tail: bool) -> Column:
     pattern = r"[^.!?]+[.!?]+|[^.!?]+$" if keep_tail else r"[^.!?]+[.!?]+"
-    found = F.filter(
-        F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), trim_ws), lambda s: s != ""
-    )
+    # A match ends in a terminator or with the trimmed content, so only its front can hold space.
+    pieces = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    found = F.filter(F.transform(pieces, lambda s: F.ltrim(s, F.lit(WS_LIST))), lambda s: s != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(content))
 
 

@@ -29,12 +29,14 @@ def oversized(spark, sf):
     return G.split_oversized(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "clean_text", "too_long")
 
 
+_LEAK = "(?i:" + "|".join(p.replace("(", "\\(").replace(")", "\\)") for p in G.LEAK_PHRASES) + ")|" + "|".join(G.LEAK_NAMES)
+_CODE = "(?i)```(?:" + "|".join(G.CODE_LANGUAGES) + ")|" + "|".join(G.CODE_MARKUP)
 _GUARD_SQL = f"""WITH cut AS (SELECT doc_id, text, CASE WHEN length(text) > 4000 THEN text[1:4000] || {S.lit(G.CUT_MARKER)} ELSE text END AS c
     FROM (SELECT doc_id, CASE WHEN lang = 'de' AND source = 'src1' THEN text || ' getEvents'
         WHEN lang = 'es' AND source IN ('src2', 'src3') THEN '```SQL' || text
         WHEN lang = 'fr' AND source = 'src4' THEN 'bezpečnostní pravidla' || text ELSE text END AS text FROM documents)),
-  r AS (SELECT *, CASE WHEN regexp_matches(c, {S.lit(G.leak_pattern())}) THEN 'leak'
-      WHEN regexp_matches(c, {S.lit(G.code_pattern())}) THEN 'code' WHEN length(text) > 4000 THEN 'truncated' END AS reason FROM cut)
+  r AS (SELECT *, CASE WHEN regexp_matches(c, {S.lit(_LEAK)}) THEN 'leak'
+      WHEN regexp_matches(c, {S.lit(_CODE)}) THEN 'code' WHEN length(text) > 4000 THEN 'truncated' END AS reason FROM cut)
   SELECT doc_id, reason, CASE WHEN reason IN ('leak', 'code') THEN {S.lit(G.FILTERED_TEXT)} ELSE c END AS answer FROM r"""
 
 
