@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.grams import grams, lead_gram
+from shelfspark.functions.grams import containment_candidates
 from shelfspark.functions.text import WS, _col, fold, fold_text, trim_ws
 from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts
 
@@ -93,16 +93,19 @@ def match_hours(branches: DataFrame, hours: DataFrame) -> DataFrame:
     word = F.split(F.col("branch"), r"[\s\-–]")[0]
     left = branches.select("branch", "ord", _letters(F.col("branch")).alias("_b"), _letters(word).alias("_w"))
     right = hours.select("hours_branch", "hours_ord", _letters(F.col("hours_branch")).alias("_h"))
-    left_pieces = left.withColumn("_g", F.explode(grams(F.col("_b"))))
-    right_pieces = right.withColumn("_g", F.explode(grams(F.col("_h"))))
     picked = ["branch", "ord", "hours_branch", "hours_ord", "tier"]
 
+    def needle(df: DataFrame, c: str, shortest: int = 1) -> DataFrame:
+        return df.filter(F.length(c) >= shortest).withColumn("_words", F.array(c))
+
+    hours_keys, branch_keys = ["hours_branch", "hours_ord"], ["branch", "ord"]
+    inner = containment_candidates(left, "_b", needle(right, "_h"), "_words", hours_keys)
+    outer = containment_candidates(right, "_h", needle(left, "_b"), "_words", branch_keys)
+    first = containment_candidates(right, "_h", needle(left, "_w", 3), "_words", branch_keys)
+
     same = left.join(right, F.col("branch") == F.col("hours_branch")).withColumn("tier", F.lit(0))
-    inner = left_pieces.join(right.withColumn("_g", lead_gram(F.col("_h"))), "_g")
-    outer = left.withColumn("_g", lead_gram(F.col("_b"))).join(right_pieces, "_g")
     contained = inner.filter(F.col("_b").contains(F.col("_h"))).withColumn("tier", F.lit(1))
-    containing = outer.filter(F.col("_h").contains(F.col("_b")) & (F.col("_b") != "")).withColumn("tier", F.lit(1))
-    first = left.filter(F.length("_w") >= 3).withColumn("_g", lead_gram(F.col("_w"))).join(right_pieces, "_g")
+    containing = outer.filter(F.col("_h").contains(F.col("_b"))).withColumn("tier", F.lit(1))
     by_word = first.filter(F.col("_h").contains(F.col("_w"))).withColumn("tier", F.lit(2))
 
     found = same.select(*picked)

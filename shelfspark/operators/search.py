@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.functions.grams import grams, lead_gram
+from shelfspark.functions.grams import containment_candidates
 from shelfspark.functions.text import (
     ascii_only,
     clean_title,
@@ -88,21 +88,18 @@ def _matches_literal(books: DataFrame, specs: list[tuple]) -> DataFrame:
 
 
 def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Matches of any number of queries: equi-join on one short piece of the longest word, then verify.
-
-    The longest word of a query must occur in the field, so the piece it starts with must too;
-    no pair without a common piece is ever formed.
-    """
-    words = specs.withColumn("_words", F.filter(F.split(fold("query"), r"\s+"), lambda w: w != ""))
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    probes = words.filter(F.size("_words") > 0).select(
-        "query_id", "tier", "field", "_words", lead_gram(longest).alias("_gram"), fold("query").alias("_whole")
+    """Matches of any number of queries: candidates share the rarest piece of the query, then verify."""
+    words = F.filter(F.split(fold("query"), r"\s+"), lambda w: w != "")
+    asked = specs.select("query_id", "tier", "field", words.alias("_words"), fold("query").alias("_whole")).filter(
+        F.size("_words") > 0
     )
     texts = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("_text")) for f in fields])
-    pieces = books.select("*", F.inline(texts)).withColumn("_gram", F.explode(grams(F.col("_text"))))
+    pairs = containment_candidates(
+        books.select("*", F.inline(texts)), "_text", asked, "_words", ["query_id", "tier", "field"], ["field"]
+    )
     contained = F.forall("_words", lambda w: F.col("_text").contains(w))
     verified = F.when(F.col("field") == "DATE1", F.col("_text") == F.col("_whole")).otherwise(contained)
-    return pieces.join(probes, ["field", "_gram"]).filter(verified).select(*books.columns, "query_id", "tier")
+    return pairs.filter(verified).select(*books.columns, "query_id", "tier")
 
 
 def _limited(matches: DataFrame, limit: int) -> DataFrame:
