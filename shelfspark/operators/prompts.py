@@ -293,10 +293,9 @@ def export_rows(prompts: DataFrame, conversations: DataFrame) -> DataFrame:
     )
 
 
-def export_prompts(prompts: DataFrame, conversations: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write :func:`export_rows` newest first as CSV; the first header name carries the byte-order mark."""
+def export_prompts(prompts: DataFrame, conversations: DataFrame, path: str) -> None:
+    """Write :func:`export_rows` newest first as CSV parts; the first header name carries the byte-order mark."""
     rows = export_rows(prompts, conversations).orderBy(F.col("promptId").cast("bigint").desc())
-    rows = rows.withColumnRenamed("promptId", "﻿promptId")
-    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").csv(
+    rows.withColumnRenamed("promptId", "\ufeffpromptId").write.mode("overwrite").csv(
         path, header=True, escape='"', emptyValue=""
     )

@@ -94,8 +94,12 @@ def test_trim_keeps_system_rows(spark):
 
 def test_export_file_has_mark_header_and_quotes(spark):
     path = scratch_path(spark, "export")
-    P.export_prompts(prompts(spark), conversations(spark), path, single_file=True)
-    lines = [r[0] for r in spark.read.text(path).collect()]
-    assert lines[0] == "﻿promptId,conversationId,promptText,answerText,userFeedback,convoFeedback,convoFeedbackMessage"
-    assert lines[1] == '4,10,q4,a4,,positive,"m, ""x"""'
-    assert lines[4] == '1,10,q1,a1,true,positive,"m, ""x"""'
+    P.export_prompts(prompts(spark), conversations(spark), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).orderBy("path").collect()
+    texts = [bytes(f["content"]).decode("utf-8").splitlines() for f in files]
+    header = "\ufeffpromptId,conversationId,promptText,answerText,userFeedback,convoFeedback,convoFeedbackMessage"
+    assert {t[0] for t in texts} == {header}
+    lines = [line for t in texts for line in t[1:]]
+    assert [line.split(",")[0] for line in lines] == ["4", "3", "2", "1"]
+    assert lines[0] == '4,10,q4,a4,,positive,"m, ""x"""'
+    assert lines[3] == '1,10,q1,a1,true,positive,"m, ""x"""'
