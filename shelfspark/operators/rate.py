@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,14 +41,15 @@ def _walk(window: int, key: str):
             n = batch.num_rows
             if n == 0:
                 continue
-            keys = np.array(batch.column(batch.schema.get_field_index(key)).to_pylist(), dtype=object)
+            keys = batch.column(batch.schema.get_field_index(key))
             times = batch.column(batch.schema.get_field_index("_t")).to_numpy()
             starts, positions = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-            edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            edges = np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1
             for a, b in zip([0, *edges], [*edges, n], strict=True):
                 i = a
-                if keys[a] != last_key:
-                    last_key, start, filled = keys[a], times[a], 0
+                this_key = keys[int(a)].as_py()
+                if this_key != last_key:
+                    last_key, start, filled = this_key, times[a], 0
                 while i < b:
                     if times[i] >= start + window:
                         start, filled = times[i], 0

@@ -22,6 +22,8 @@ from shelfspark.operators.skew import bounded_rows, first_per_key, top_per_key
 
 MAX_QUERY_BLOCK = 1000
 ITEMS_PER_PART = 50_000
+QUERIES_PER_BLOCK = 10_000
+QUERY_SLAB = 128
 DISTANCE_DIGITS = 9
 OVERFETCH = 5
 DEDUP_CHARS = 100
@@ -77,10 +79,11 @@ def _nearest(ids: np.ndarray, distances: np.ndarray, k: int) -> np.ndarray:
 
 def _best(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int, metric: str):
     """(query number, ids, distances) per query for one block of items."""
-    distances = _distances(vectors, queries, metric)
-    for q in range(len(queries)):
-        rows = _nearest(ids, distances[:, q], k)
-        yield q, ids[rows], distances[rows, q]
+    for first in range(0, len(queries), QUERY_SLAB):
+        distances = _distances(vectors, queries[first : first + QUERY_SLAB], metric)
+        for q in range(distances.shape[1]):
+            rows = _nearest(ids, distances[:, q], k)
+            yield first + q, ids[rows], distances[rows, q]
 
 
 def _usable(df: DataFrame, name: str) -> DataFrame:
@@ -141,7 +144,7 @@ def _grid(items: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.S
     its measured counts; items repeat once per block and queries once per part.
     """
     parts = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_PART).cast("int").alias("_parts"))
-    blocks = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / MAX_QUERY_BLOCK).cast("int").alias("_blocks"))
+    blocks = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("_blocks"))
     shape = parts.join(blocks, "bucket")
 
     def every(n: str) -> Column:

@@ -155,26 +155,27 @@ def _valid_sql(url, text, body):
        AND NOT (length({text}) < 500 AND {notice}))"""
 
 
-_CHUNK_SQL = f"""WITH RECURSIVE {_PAGES_SQL},
-  sec AS (SELECT url, 1 AS section_ord, 'Oddělení ' || heading AS heading, 'Stránka: ' || title || chr(10) || 'URL: ' || path || chr(10) || chr(10) AS prefix, 'úvod' AS content FROM doc_pages
-    UNION ALL SELECT url, 2, heading, 'Stránka: ' || title || chr(10) || 'URL: ' || path || chr(10) || 'Oddělení: Oddělení ' || heading || chr(10) || chr(10),
-      {S.trim_ws('text')} FROM doc_pages),
-  full_sec AS (SELECT *, prefix || heading || chr(10) || chr(10) AS head, prefix || heading || ' (pokračování)' || chr(10) || chr(10) AS later FROM sec WHERE content <> ''),
+# Sections (k, url, section_ord, heading, prefix, content) -> chunks, sentence by sentence.
+_FOLD_SQL = f"""full_sec AS (SELECT *, prefix || heading || chr(10) || chr(10) AS head, prefix || heading || ' (pokračování)' || chr(10) || chr(10) AS later FROM sec WHERE content <> ''),
   short AS (SELECT url, section_ord, heading, 0 AS chunk_index, head || content AS text, content AS body FROM full_sec WHERE length(content) <= 2000),
-  parts AS (SELECT url, section_ord, heading, prefix, head, later,
+  parts AS (SELECT k, url, section_ord, heading, prefix, head, later,
       list_filter(list_transform(regexp_extract_all(content, '[^.!?]+[.!?]+|[^.!?]+$'), lambda s: {S.trim_ws('s')}), lambda s: s <> '') AS ss
     FROM full_sec WHERE length(content) > 2000),
-  fold AS (SELECT url, section_ord, 0 AS at, length(head) AS filled, 0 AS chunk FROM parts
-    UNION ALL SELECT f.url, f.section_ord, f.at + 1,
+  fold AS (SELECT k, section_ord, 0 AS at, length(head) AS filled, 0 AS chunk FROM parts
+    UNION ALL SELECT f.k, f.section_ord, f.at + 1,
       CASE WHEN f.filled + length(p.ss[f.at + 1]) > 2000 AND f.filled > 800 THEN length(p.later) ELSE f.filled END + length(p.ss[f.at + 1]) + 1,
       CASE WHEN f.filled + length(p.ss[f.at + 1]) > 2000 AND f.filled > 800 THEN f.chunk + 1 ELSE f.chunk END
-    FROM fold f JOIN parts p ON p.url = f.url AND p.section_ord = f.section_ord WHERE f.at < len(p.ss)),
-  long AS (SELECT p.url, p.section_ord, p.heading, f.chunk AS chunk_index, p.prefix,
-      string_agg(p.ss[f.at], ' ' ORDER BY f.at) AS body, any_value(p.head) AS head, any_value(p.later) AS later, max(f.chunk) OVER (PARTITION BY p.url, p.section_ord) AS last
-    FROM fold f JOIN parts p ON p.url = f.url AND p.section_ord = f.section_ord WHERE f.at > 0 GROUP BY p.url, p.section_ord, p.heading, f.chunk, p.prefix),
+    FROM fold f JOIN parts p ON p.k = f.k AND p.section_ord = f.section_ord WHERE f.at < len(p.ss)),
+  long AS (SELECT p.k, p.url, p.section_ord, p.heading, f.chunk AS chunk_index, p.prefix,
+      string_agg(p.ss[f.at], ' ' ORDER BY f.at) AS body, any_value(p.head) AS head, any_value(p.later) AS later, max(f.chunk) OVER (PARTITION BY p.k, p.section_ord) AS last
+    FROM fold f JOIN parts p ON p.k = f.k AND p.section_ord = f.section_ord WHERE f.at > 0 GROUP BY p.k, p.url, p.section_ord, p.heading, f.chunk, p.prefix),
   long_text AS (SELECT url, section_ord, heading, chunk_index, last, prefix, {S.trim_ws('CASE WHEN chunk_index = 0 THEN head ELSE later END || body')} AS text, body FROM long),
   chunks AS (SELECT * FROM short UNION ALL SELECT url, section_ord, heading, chunk_index, text, body FROM long_text
      WHERE chunk_index < last OR length(text) > length(prefix) + length(heading) + 10)"""
+_CHUNK_SQL = f"""WITH RECURSIVE {_PAGES_SQL},
+  sec AS (SELECT doc_id AS k, url, 1 AS section_ord, 'Oddělení ' || heading AS heading, 'Stránka: ' || title || chr(10) || 'URL: ' || path || chr(10) || chr(10) AS prefix, 'úvod' AS content FROM doc_pages
+    UNION ALL SELECT doc_id, url, 2, heading, 'Stránka: ' || title || chr(10) || 'URL: ' || path || chr(10) || 'Oddělení: Oddělení ' || heading || chr(10) || chr(10),
+      {S.trim_ws('text')} FROM doc_pages), {_FOLD_SQL}"""
 _CHUNK_OUT = "url, section_ord, heading AS section_heading, chunk_index, text, sha256(" + S.trim_ws("text") + ") AS hash"
 
 
@@ -188,8 +189,15 @@ def valid(spark, sf):
     return E.chunk_sections(_doc_pages(spark, sf))
 
 
-@query("e_refresh_pages_to_chunks")
+_REFRESH_SQL = f"""WITH RECURSIVE p AS (SELECT page_id, {_FACTS_SQL}, {_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS heading,
+    {_text_sql("regexp_extract(html, '(?s)</h1>(.*)</article>', 1)")} AS content FROM pages),
+  sec AS (SELECT page_id AS k, url, 0 AS section_ord, heading, 'Stránka: ' || title || chr(10) || 'URL: ' || path || chr(10) || chr(10) AS prefix, content
+    FROM p WHERE length(content) >= 50), {_FOLD_SQL}"""
+
+
+@query("e_refresh_pages_to_chunks", _REFRESH_SQL + f" SELECT {_CHUNK_OUT} FROM chunks WHERE {_valid_sql('url', 'text', 'body')}")
 def refresh(spark, sf):
+    """Stored pages to valid chunks in one pass."""
     return E.chunk_sections(html_pages.extract_pages(table(spark, sf, "pages")))
 
 

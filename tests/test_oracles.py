@@ -8,7 +8,7 @@ from shelfspark.plans.catalog import ORACLES, QUERIES
 from tests.compare import TESTDATA, compare, duck
 
 SF = f"{TESTDATA}/sf0.001"
-ROWS_ONLY = {"d3_knn_approx", "e_refresh_pages_to_chunks"}
+ROWS_ONLY = {"d3_knn_approx"}
 
 
 @pytest.fixture(scope="module")
