@@ -33,7 +33,7 @@ def micros(ts: Column | str) -> Column:
 
 
 def _walk(window: int, key: str):
-    """Task over rows sorted by (key, time): adds window start and position; state is one window."""
+    """Task over rows in (key, time) order: adds window start and position; state is one window."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, start, filled = None, 0, 0
@@ -64,9 +64,16 @@ def _walk(window: int, key: str):
 
 
 def _walked(df: DataFrame, key: str, order: str, window: int) -> DataFrame:
-    ordered = df.repartition(key).sortWithinPartitions(key, "_t", order)
-    schema = T.StructType([*df.schema.fields, T.StructField("_start", T.LongType()), T.StructField("_pos", T.LongType())])
-    return ordered.mapInArrow(_walk(window, key), schema)
+    """Runs the walk on top of a window operator.
+
+    The window demands that a key sits in one task in time order, so no later plan change
+    (a join turned into a broadcast, a shuffle found redundant) can take that away; a plain
+    repartition gives no such guarantee.
+    """
+    in_order = F.row_number().over(Window.partitionBy(key).orderBy("_t", order))
+    ordered = df.withColumn("_row", in_order)
+    schema = T.StructType([*ordered.schema.fields, T.StructField("_start", T.LongType()), T.StructField("_pos", T.LongType())])
+    return ordered.mapInArrow(_walk(window, key), schema).drop("_row")
 
 
 def _next_requests(events: DataFrame, window: int) -> DataFrame:

@@ -58,6 +58,22 @@ def test_all_routes_equal_a_plain_walk(spark, seed, most, window, hot_rows):
     assert got == brute(rows, most, window)
 
 
+def test_mixed_routes_over_many_files_and_batches(spark):
+    """Hot keys are split off by a join that turns into a broadcast at run time; cold keys must stay whole."""
+    rng, path = random.Random(9), scratch_path(spark, "many")
+    rows = [("hot" if rng.random() < 0.33 else f"k{rng.randrange(300)}", i, START + dt.timedelta(seconds=rng.randrange(500_000))) for i in range(60_000)]
+    spark.createDataFrame(rows, SCHEMA).repartition(8).write.parquet(path)
+    got = decided(R.rate_limit(spark.read.parquet(path), "key", "ts", "id", 3, 90_000, hot_rows=5_000))
+    assert got == brute(rows, 3, 90_000)
+
+
+def test_walk_sits_on_an_operator_that_demands_whole_keys(spark):
+    rows = spark.createDataFrame([("a", 1, START)], SCHEMA)
+    text = R.rate_limit(rows, "key", "ts", "id")._jdf.queryExecution().executedPlan().toString()
+    below = text[text.index("MapInArrow") :].splitlines()[1]
+    assert "Window" in below
+
+
 def test_allowed_never_exceeds_the_limit_and_state_follows(spark):
     rows = random_rows(5)
     df = R.rate_limit(spark.createDataFrame(rows, SCHEMA), "key", "ts", "id", 4, 1800)
