@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import mixing, packing, simhash
+from shelfspark.llm import mixing, packing, quality_rules, simhash
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,3 +48,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sum_of_squares_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, window=2048, end_id=1)
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assessed = quality_rules.assess(table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return assessed.select(*base, "n_covered_words", "longest_repeat")
