@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import mixing, packing, quality_rules, simhash
+from shelfspark.llm import mixing, packing, quality_crf, quality_rules, simhash
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,3 +55,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     assessed = quality_rules.assess(table(spark, sf_dir, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return assessed.select(*base, "n_covered_words", "longest_repeat")
+
+
+@query("op5_line_field_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
