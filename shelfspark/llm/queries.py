@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import mixing, packing, quality_crf, quality_rules, simhash, toxicity
+from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, toxicity
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,3 +65,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ftrl_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
