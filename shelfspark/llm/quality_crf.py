@@ -208,12 +208,14 @@ def train(
         theta = [*field.weights, *field.stay, field.first]
         return pd.DataFrame({"shard": [key[0]], "n": [len(group)], "theta": [[float(x) for x in theta]]})
 
-    fitted = sample.groupBy("shard").applyInPandas(fit, "shard int, n long, theta array<double>").orderBy("shard").collect()
+    fitted = sample.groupBy("shard").applyInPandas(fit, "shard int, n long, theta array<double>").collect()
+    fitted.sort(key=lambda r: r["shard"])
     if not fitted:
         return Field(np.zeros(len(FEATURES)), np.zeros(2), 0.0, 0.0, 0.0)
     theta = np.average([r["theta"] for r in fitted], axis=0, weights=[r["n"] for r in fitted])
     field = Field(theta[:-3], theta[-3:-1], float(theta[-1]))
-    pairs = sample.select("doc_id", "label", _share_column(F.col("text"), field).alias("share")).orderBy("doc_id", "share").collect()
+    pairs = sample.select("doc_id", "label", _share_column(F.col("text"), field).alias("share")).collect()
+    pairs.sort(key=lambda r: (r["doc_id"], r["share"]))
     scale, shift = fit_calibration(np.array([r["share"] for r in pairs]), np.array([float(r["label"]) for r in pairs]))
     return field._replace(scale=scale, shift=shift)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, toxicity
+from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, topk, toxicity
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -70,3 +70,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH whole AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), placed AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank"
+  FROM scored
+)
+SELECT query_id, "rank", vec_id, score FROM placed WHERE "rank" <= 5
+"""
+
+
+@query("op6_exact_top_k", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)

@@ -123,7 +123,7 @@ def train(
         return pd.DataFrame({"shard": [key[0]], "n": [len(group)], "at": [model.index], "w": [model.value], "bias": [model.bias]})
 
     fitted = sample.groupBy("shard").applyInPandas(fit, "shard int, n long, at array<long>, w array<double>, bias double")
-    rows = fitted.orderBy("shard").collect()  # one sparse model per shard; the sample bounds the shards
+    rows = sorted(fitted.collect(), key=lambda r: r["shard"])  # one sparse model per shard; the sample bounds the shards
     models = [Weights(np.array(r["at"], np.int64), np.array(r["w"], float), r["bias"]) for r in rows]
     return average(models, [r["n"] for r in rows])
 
