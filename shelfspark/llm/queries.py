@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, topk, toxicity
+from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, token_counts, topk, toxicity
+from shelfspark.session import scratch_path
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,3 +91,18 @@ SELECT query_id, "rank", vec_id, score FROM placed WHERE "rank" <= 5
 @query("op6_exact_top_k", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op2_token_rollups")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are counted and inserted; then every count is revised to include the end-of-document id,
+    documents without a token are deleted, and the first batch arrives once more, to no effect."""
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "token-ledger"))
+    counted = token_counts.document_counts(table(spark, sf_dir, "documents"), {"byte_bpe_50k": TOKENIZER})
+    ledger.apply("0001-load", counted)
+    known = ledger.current()
+    ledger.apply("0002-end-ids", known.withColumn("op", F.lit(token_counts.REVISE)).withColumn("n_tokens", F.col("n_tokens") + 1))
+    known = ledger.current()
+    ledger.apply("0003-empty", known.filter("n_tokens <= 1").withColumn("op", F.lit(token_counts.DELETE)))
+    ledger.apply("0001-load", counted)
+    return ledger.totals()
