@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import language_id, mixing, packing, quality_crf, quality_rules, simhash, token_counts, topk, toxicity
+from shelfspark.llm import chat, language_id, mixing, packing, quality_crf, quality_rules, simhash, token_counts, topk, toxicity
 from shelfspark.session import scratch_path
 
 #: Where the public tokenizer files are; every executor has the package.
@@ -106,3 +106,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger.apply("0003-empty", known.filter("n_tokens <= 1").withColumn("op", F.lit(token_counts.DELETE)))
     ledger.apply("0001-load", counted)
     return ledger.totals()
+
+
+@query("op3_chat_role_repair")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
