@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfspark.llm.scratch import written
+from shelfspark.llm.scratch import beside, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -243,20 +243,15 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, all columns kept."""
     groups = written(mix_groups(docs, id_col, source_col, text_col, **options), "mix")
-    marked = docs.withColumn("_size", word_count(F.col(text_col)))
-    taken = groups.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "whole", "extra", "n"
-    ).toDF("_id", "_source", "_words", "_whole", "_extra", "_n")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    joined = marked.join(taken.filter("_whole > 0 or _extra > 0"), on)
-    extra = F.col("_extra")
-    if not groups.filter("n > 1").isEmpty():
-        place = F.row_number().over(Window.partitionBy("_id", "_source", "_words").orderBy(F.xxhash64(text_col)))
-        extra = F.when(place <= F.col("_extra"), 1).otherwise(0)
-    repeats = (F.col("_whole") + extra).cast("int")
-    return (
-        joined.withColumn("_repeats", repeats)
-        .filter("_repeats > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = groups.filter("whole > 0 or extra > 0").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("size").alias("words"), "whole", "extra", "n"
     )
+    own = beside(docs, own_id=F.col(id_col), own_source=F.col(source_col), own_size=word_count(F.col(text_col)), text=F.col(text_col))
+    on = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("of")) & (F.col("own_size") == F.col("words"))
+    joined = own.join(taken, on)
+    extra = F.col("extra")
+    if not groups.filter("n > 1").isEmpty():
+        place = F.row_number().over(Window.partitionBy("id", "of", "words").orderBy(F.xxhash64("text")))
+        extra = (place <= F.col("extra")).cast("long")
+    copies = joined.withColumn("copies", (F.col("whole") + extra).cast("int")).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

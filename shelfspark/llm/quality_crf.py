@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.llm.scratch import beside
 from shelfspark.llm.supervised import held_out, labelled_sample
 
 SAMPLE = 6000
@@ -245,5 +246,4 @@ def score(
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, all columns kept."""
     field = train(docs, labels, **options)
-    scored = docs.withColumn("_score", quality(F.col(text_col), field))
-    return scored.filter(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return beside(docs, score=quality(F.col(text_col), field)).filter(F.col("score") >= threshold).select("row.*")

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfspark.llm.scratch import beside
+
 #: Symbols that are counted, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -185,6 +187,5 @@ def assess(
 
 def keep_good(docs: DataFrame, text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """The rows that :func:`assess` keeps, all columns kept."""
-    counted = docs.withColumn("_counts", counts(F.col(text_col)))
-    kept = counted.filter(_kept(F.col("_counts"), max_covered, max_longest))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    counted = beside(docs, counts=counts(F.col(text_col)))
+    return counted.filter(_kept(F.col("counts"), max_covered, max_longest)).select("row.*")

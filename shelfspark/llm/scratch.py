@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from shelfspark.session import scratch_path
 
@@ -22,3 +23,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def sample_share(n_rows: int, bound: int) -> float:
     """Share of rows that keeps a sample within ``bound`` rows."""
     return 1.0 if n_rows <= bound else bound / n_rows
+
+
+def beside(df: DataFrame, **columns: Column) -> DataFrame:
+    """All columns of ``df`` as one struct ``row`` beside ``columns``, so that no name can clash; undo with ``row.*``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(row.alias("row"), *[c.alias(name) for name, c in columns.items()])

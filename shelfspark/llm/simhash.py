@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.components import components
-from shelfspark.llm.scratch import written
+from shelfspark.llm.scratch import beside, written
 
 SEED = 42
 BITS = 64
@@ -136,25 +136,14 @@ def keep_one(
     per fingerprint.
     """
     found = written(near_duplicates(docs, id_col, text_col, radius, shingle), "components")
-    kept = (
-        found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id")
-        .agg(F.min("fp").alias("_kept_fp"))
-        .withColumnRenamed("component_id", "_kept_id")
-    )
-    kept = written(
-        kept.filter("_kept_id is not null").unionByName(
-            found.filter("component_id is null").select("fp").distinct().select(
-                F.lit(None).cast(found.schema["doc_id"].dataType).alias("_kept_id"), F.col("fp").alias("_kept_fp")
-            )
-        ),
-        "kept",
-    )
+    least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).filter("doc_id is not null")
+    without = found.filter("component_id is null").select("component_id", "fp").distinct()
+    kept = least.groupBy("component_id").agg(F.min("fp").alias("fp")).unionByName(without)
+    kept = written(kept.select(F.col("component_id").alias("kept_id"), F.col("fp").alias("kept_fp")), "kept")
     ids_unique = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    same_id = F.col("id").eqNullSafe(F.col("kept_id"))
     if ids_unique:
-        return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi").select(*columns)
-    marked = docs.withColumn("_own_fp", fingerprint(F.col(text_col), shingle))
-    on = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_own_fp") == F.col("_kept_fp"))
-    joined = marked.join(kept, on)
-    return joined.dropDuplicates(["_kept_id", "_kept_fp"]).select(*columns)
+        return beside(docs, id=F.col(id_col)).join(kept, same_id, "left_semi").select("row.*")
+    marked = beside(docs, id=F.col(id_col), fp=fingerprint(F.col(text_col), shingle))
+    joined = marked.join(kept, same_id & (F.col("fp") == F.col("kept_fp")))
+    return joined.dropDuplicates(["kept_id", "kept_fp"]).select("row.*")
