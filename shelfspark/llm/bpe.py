@@ -20,7 +20,8 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Character classes of all Unicode versions agree up to here.
-PLAIN = regex.compile(r"[\x00-\u024f]*")
+LAST_PLAIN = "\u024f"
+SENTENCE_MARKS = ".,;:!?"
 WHITE_RUN = re.compile(r"\s\s")
 MAX_WORDS = 300_000
 ID_BYTES = 4
@@ -45,18 +46,26 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype="<u4").tobytes()
+        ids = b"".join([t.id.to_bytes(ID_BYTES, "little") for t in self.tokenizer.model.tokenize(spelled)])
         if len(self.pieces) < self.max_words:
             self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         """A word that follows a space, or a line feed and the word after it."""
-        text = word if word.startswith("\n") else " " + word
-        if PLAIN.fullmatch(text):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in SPLIT.findall(text)])
-        else:
+        line = word.startswith("\n")
+        text, body = (word, word[1:]) if line else (" " + word, word)
+        if max(text) > LAST_PLAIN:
             ids = self._whole(text)
+        else:
+            if body.isalpha():
+                cut = [text[-len(body) - (not line) :]]
+            elif body and body[-1] in SENTENCE_MARKS and body[:-1].isalpha():
+                cut = [text[-len(body) - (not line) : -1], body[-1]]
+            else:
+                line, cut = False, SPLIT.findall(text)
+            known, new = self.pieces.get, self._piece
+            ids = b"".join([known(p) or new(p) for p in (["\n", *cut] if line else cut)])
         if len(self.words) < self.max_words:
             self.words[word] = ids
         return ids
