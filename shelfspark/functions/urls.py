@@ -27,8 +27,6 @@ BINARY_ENDINGS = (
     "ogg", "m4a", "zip", "rar", "7z", "tar", "gz", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "exe",
     "dmg", "pkg", "deb", "rpm",
 )
-# Link targets of single events, which are always followed up.
-EVENT_LINK_PARTS = ("/akce/id:", "/akce/detail/")
 
 
 def url_origin(c: Column | str) -> Column:

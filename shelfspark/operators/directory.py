@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.grams import containment_candidates
 from shelfspark.functions.text import WS, _col, fold, fold_text, trim_ws
-from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts
+from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts, numbered
 
 # Contact scores.
 EXACT_NAME, PARTIAL_NAME, ROLE_SCORE, DEPARTMENT_SCORE = 100, 10, 5, 5
-MAX_EVENTS, MAX_EVENTS_CAP = 10, 30
 ORD_BUCKET = 1_000_000
 
 # Event categories and places with their codes.
@@ -116,36 +115,59 @@ def match_hours(branches: DataFrame, hours: DataFrame) -> DataFrame:
 
 
 def nest_schedule(rows: DataFrame, part_size: int = 1000) -> DataFrame:
-    """(branch, day, slot, ord) rows -> branch with an ordered array of (day, hours).
+    """(branch, day, slot, ord) rows -> branch with an ordered array of (day, hours, day_ord, first_slot).
 
-    Days keep first-seen order and slots theirs; rows without a slot add nothing.
+    Days keep first-seen order and slots theirs; rows without a slot add nothing. A branch with more
+    than ``part_size`` slots continues in further rows (``part``), and a day with more in further
+    elements: ``day_ord`` is the day's place in the branch and ``first_slot`` that of the element's
+    first slot in the day, so :func:`unnest_schedule` gives the same rows at every size.
     """
     filled = rows.filter(F.col("slot").isNotNull() & (F.col("slot") != ""))
     if groups_within(filled, ["branch"], part_size):
-        seen = filled.groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("ord", "day", "slot"))).alias("_seen"))
-        days = F.array_distinct(F.transform("_seen", lambda s: s["day"]))
-
-        def hours(day: Column) -> Column:
-            return F.transform(F.filter("_seen", lambda s: s["day"] == day), lambda s: s["slot"])
-
-        schedule = F.transform(days, lambda d: F.struct(d.alias("day"), hours(d).alias("hours")))
-        return seen.select("branch", F.lit(0).cast("bigint").alias("part"), schedule.alias("schedule"))
+        days = filled.groupBy("branch", "day").agg(F.sort_array(F.collect_list(F.struct("ord", "slot"))).alias("_seen"))
+        opening = F.struct(F.col("_seen")[0]["ord"].alias("first"), "day", F.transform("_seen", lambda s: s["slot"]).alias("hours"))
+        branches = days.groupBy("branch").agg(F.sort_array(F.collect_list(opening)).alias("_days"))
+        placed = F.transform("_days", lambda d, i: _day(d["day"], d["hours"], i, F.lit(0)))
+        return branches.select("branch", F.lit(0).cast("bigint").alias("part"), placed.alias("schedule"))
     bucket = F.floor(F.col("ord") / ORD_BUCKET)
-    slots = nest_in_parts(
-        filled, ["branch", "day"], ["ord", "slot"], bucket, F.struct("slot", "ord"), "_slots", part_size
+    slots = nest_in_parts(filled, ["branch", "day"], ["ord", "slot"], bucket, F.struct("slot", "ord"), "_slots", part_size)
+    opened = slots.filter("part = 0").select("branch", "day", F.col("_slots")[0]["ord"].alias("ord"))
+    days = numbered(opened, ["branch"], ["ord", "day"], bucket, "_n").select("branch", "day", (F.col("_n") - 1).alias("_day"))
+    hours = F.transform("_slots", lambda s: s["slot"])
+    elements = slots.join(days, ["branch", "day"]).select(
+        "branch", "_day", F.col("part").alias("_piece"), _day(F.col("day"), hours, F.col("_day"), F.col("part") * part_size).alias("_item")
+    )
+    return nest_in_parts(
+        elements, ["branch"], ["_day", "_piece"], F.floor(F.col("_day") / part_size), F.col("_item"), "schedule", part_size
     )
-    days = slots.select(
-        "branch", "day", F.transform("_slots", lambda s: s["slot"]).alias("hours"), F.col("_slots")[0]["ord"].alias("ord")
+
+
+def _day(day: Column, hours: Column, place: Column, first_slot: Column) -> Column:
+    return F.struct(
+        day.alias("day"), hours.alias("hours"), place.cast("int").alias("day_ord"), first_slot.cast("int").alias("first_slot")
     )
-    return nest_in_parts(days, ["branch"], ["ord", "day"], bucket, F.struct("day", "hours"), "schedule", part_size)
 
 
 def unnest_schedule(df: DataFrame) -> DataFrame:
     """Back to one row per (branch, day, slot) with both positions."""
-    days = df.select("branch", F.posexplode("schedule").alias("day_ord", "_d"))
-    return days.select(
-        "branch", "day_ord", F.col("_d.day").alias("day"), F.posexplode("_d.hours").alias("slot_ord", "slot")
+    days = df.select("branch", F.explode("schedule").alias("_d"))
+    slots = days.select("branch", F.col("_d.day_ord").alias("day_ord"), F.col("_d.day").alias("day"), "_d", F.posexplode("_d.hours").alias("_p", "slot"))
+    return slots.select("branch", "day_ord", "day", (F.col("_d.first_slot") + F.col("_p")).alias("slot_ord"), "slot")
+
+
+def _whole_schedules(hours: DataFrame) -> DataFrame:
+    """``hours`` with the parts of each schedule joined: one row per branch."""
+    others = [c for c in hours.columns if c not in ("hours_branch", "part", "schedule")]
+    days = hours.select("hours_branch", F.explode("schedule").alias("_d"))
+    pieces = F.sort_array(F.collect_list(F.struct("_d.first_slot", "_d.hours")))
+    whole = days.groupBy("hours_branch", F.col("_d.day_ord").alias("_o"), F.col("_d.day").alias("_day")).agg(
+        F.flatten(F.transform(pieces, lambda p: p["hours"])).alias("_hours")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("_o", "_day", "_hours")))
+    schedules = whole.groupBy("hours_branch").agg(
+        F.transform(ordered, lambda d: _day(d["_day"], d["_hours"], d["_o"], F.lit(0))).alias("schedule")
     )
+    return hours.filter("part = 0").select("hours_branch", *others).join(schedules, "hours_branch")
 
 
 def branch_profile(branches: DataFrame, hours: DataFrame, details: DataFrame) -> DataFrame:
@@ -153,8 +175,11 @@ def branch_profile(branches: DataFrame, hours: DataFrame, details: DataFrame) ->
 
     ``branches``: branch, ord, phones, email, address, transport, detail_url. ``hours``:
     hours_branch, hours_ord, schedule, hours_url. ``details``: branch, librarian, address,
-    transport, services; its address and transport only fill gaps.
+    transport, services; its address and transport only fill gaps. Schedules that come in parts are
+    joined, so every branch has one row.
     """
+    if "part" in hours.columns:
+        hours = _whole_schedules(hours)
     matched = match_hours(branches, hours.select("hours_branch", "hours_ord"))
     timed = matched.join(hours.select("hours_branch", "schedule", "hours_url"), "hours_branch", "left")
     extra = details.select(
@@ -261,11 +286,10 @@ def filter_events(
 def classify_events(
     events: DataFrame, today: str, max_results: int | None = None, date_text: str = "date"
 ) -> DataFrame:
-    """Upcoming events soonest first, then past ones most recent first, cut to the limit.
+    """Upcoming events soonest first, then past ones most recent first; all, or the first ``max_results``.
 
     Unparsed dates count as upcoming and come after the dated ones. Adds event_date and is_past.
     """
-    limit = min(MAX_EVENTS if max_results is None else max_results, MAX_EVENTS_CAP)
     parsed = events.withColumn("event_date", parse_czech_date(date_text))
     day = F.col("event_date")
     classified = parsed.withColumn("is_past", F.coalesce(day < F.lit(today).cast("date"), F.lit(False)))
@@ -275,7 +299,8 @@ def classify_events(
         F.when(F.col("is_past"), day).desc_nulls_last(),
         F.col("ord"),
     ]
-    return classified.orderBy(*order).limit(limit)
+    ordered = classified.orderBy(*order)
+    return ordered if max_results is None else ordered.limit(max_results)
 
 
 def event_counts(classified: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ MAX_REQUESTS = 20
 WINDOW_SECONDS = 3600
 HOT_ROWS = 5_000_000
 SUB_BUCKETS = 64
+UNKNOWN_KEY = "unknown"
 
 
 def micros(ts: Column | str) -> Column:
@@ -165,10 +166,13 @@ def rate_limit(
     """Decide every request: window_start, allowed, remaining, retry_after_ms.
 
     Requests of a key are taken by (ts, order), which must be unique. Refused requests do not
-    prolong a window. Keys with more than ``hot_rows`` requests take the distributed route.
+    prolong a window. Keys with more than ``hot_rows`` requests take the distributed route. Requests
+    without a key share the key ``unknown``; a request without a time is refused, in no window.
     """
     window = window_seconds * 1_000_000
-    timed = requests.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("_t", micros(ts))
+    by, key = key, "_key"
+    keyed = requests.withColumn("_key", F.coalesce(F.col(by).cast("string"), F.lit(UNKNOWN_KEY)))
+    timed = keyed.filter(F.col(ts).isNotNull()).withColumn("_t", micros(ts))
     hot = timed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key)
     if hot.isEmpty():
         decided = _walked(timed, key, order, window)
@@ -177,9 +181,15 @@ def rate_limit(
         cold = _walked(timed.join(hot, key, "left_anti").select(*timed.columns), key, order, window)
         dense = timed.join(hot, key, "left_semi").select(*timed.columns)
         decided = cold.unionByName(_doubled(dense, key, order, window, max_requests))
-    return _decisions(decided, max_requests, window).select(
+    decisions = _decisions(decided, max_requests, window).select(
         *requests.columns, "window_start", "allowed", "remaining", "retry_after_ms"
     )
+    zero = F.lit(0).cast("bigint")
+    refused = requests.filter(F.col(ts).isNull()).select(
+        *requests.columns, F.lit(None).cast("timestamp").alias("window_start"), F.lit(False).alias("allowed"),
+        zero.alias("remaining"), zero.alias("retry_after_ms"),
+    )
+    return decisions.unionByName(refused)
 
 
 def _decisions(df: DataFrame, max_requests: int, window: int) -> DataFrame:

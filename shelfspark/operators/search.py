@@ -290,16 +290,20 @@ def result_lines(df: DataFrame) -> DataFrame:
     facts = unique.groupBy("query_id").agg(
         (F.count(F.lit(1)) > COMPACT_THRESHOLD).alias("compact"),
         F.coalesce(F.bool_and(F.col("requested_author").isNotNull() & same), F.lit(False)).alias("_omit"),
+        F.count(F.lit(1)).alias("n_books"),
     )
     line = F.when(F.col("compact"), _compact_line(F.col("_omit"))).otherwise(_detail_block())
-    return unique.join(facts, "query_id").select("query_id", "ord", "compact", line.alias("line"))
+    return unique.join(facts, "query_id").select("query_id", "ord", "compact", "n_books", line.alias("line"))
 
 
 def result_listing(df: DataFrame, part_size: int = 1000) -> DataFrame:
-    """The lines of each query joined to one text; a longer result continues in further parts."""
+    """The lines of each query joined to one text; a longer result continues in further parts.
+
+    ``n_books`` is the size of the whole result on every part.
+    """
     lines = result_lines(df)
     parts = nest_in_parts(
-        lines, ["query_id", "compact"], ["ord"], F.floor(F.col("ord") / 1_000_000), F.col("line"), "_lines", part_size
+        lines, ["query_id", "compact", "n_books"], ["ord"], F.floor(F.col("ord") / 1_000_000), F.col("line"), "_lines", part_size
     )
     joined = F.when(F.col("compact"), F.array_join("_lines", "\n")).otherwise(F.array_join("_lines", "\n\n"))
-    return parts.select("query_id", "part", "compact", F.size("_lines").cast("bigint").alias("n_books"), joined.alias("listing"))
+    return parts.select("query_id", "part", "compact", "n_books", joined.alias("listing"))

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.functions.text import WS, WS_CHARS, contains_any, fold, trim_ws
-from shelfspark.operators.search import DEFAULT_COUNT, MAX_COUNT, catalog_search
+from shelfspark.operators.search import DEFAULT_COUNT, catalog_search
 from shelfspark.operators.skew import bounded_rows, first_per_key, top_per_key
+from shelfspark.session import cut_lineage
 
 MAX_QUERY_BLOCK = 1000
 ITEMS_PER_PART = 50_000
@@ -197,10 +198,15 @@ def _top(items: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame
 def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_COUNT, metric: str = "cosine") -> DataFrame:
     """Exact k nearest items (id, vector) per query (query_id, vector): distance and rank.
 
-    ``metric``: 'cosine' distance or 'l2' (squared). ``k`` is capped at 20.
+    ``metric``: 'cosine' distance or 'l2' (squared).
     """
-    found = _top(items, queries, min(k, MAX_COUNT), metric)
-    return found.withColumn("score", 1.0 - F.col("distance"))
+    return _top(items, queries, k, metric).withColumn("score", 1.0 - F.col("distance"))
+
+
+def _unit(vector: Column) -> Column:
+    """The vector over its norm; a zero vector stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(vector.cast("array<double>"))
 
 
 def knn_approx(
@@ -208,13 +214,18 @@ def knn_approx(
     queries: DataFrame,
     k: int = DEFAULT_COUNT,
     metric: str = "cosine",
-    tables: int = 8,
-    bucket_length: float = 1.0,
+    tables: int = 12,
+    width: float = 4.0,
+    projections: int = 3,
     seed: int = 42,
 ) -> DataFrame:
     """Approximate k nearest: random-projection buckets propose candidates, exact distances rank them.
 
-    Buckets are cut by their measured size, so a bucket full of copies is shared by many tasks.
+    A bucket is a cell of ``projections`` random directions, each cut into steps of ``width`` times the
+    spread that the items' vectors have along a direction on average, whatever their scale. For
+    cosine the buckets are those of the unit vectors. Buckets are cut by their measured size, so a
+    bucket full of copies is shared by many tasks. Queries whose buckets hold fewer than k
+    candidates are searched exactly.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -222,20 +233,36 @@ def knn_approx(
     items, queries = _usable(items, "vector"), _usable(queries, "vector")
     schema = _result_type(items, queries)
 
+    def placed(df: DataFrame) -> DataFrame:
+        plain = _unit(F.col("vector")) if metric == "cosine" else F.col("vector").cast("array<double>")
+        return df.withColumn("features", plain)
+
+    square = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)
+    spread = placed(items).agg(F.sqrt(F.avg(square / F.size("features")))).first()[0]
+    if not spread:
+        return knn(items, queries, k, metric)
+
     def hashed(df: DataFrame, key: str) -> DataFrame:
-        dense = df.select(key, "vector", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-        rows = model.transform(dense).select(key, "vector", F.posexplode("hashes").alias("table", "hash"))
-        bucket = F.concat_ws(":", "table", vector_to_array("hash")[0].cast("bigint"))
-        return rows.select(bucket.alias("bucket"), key, "vector")
+        dense = placed(df).select(key, "vector", array_to_vector("features").alias("features"))
+        cells = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
+        rows = model.transform(dense).select(key, "vector", cells.alias("cells"))
+        table = F.sequence(F.lit(0), F.lit(tables - 1))
+        bucket = F.transform(
+            table, lambda t: F.concat_ws(":", t, F.transform(F.slice("cells", t * projections + 1, projections), lambda c: c.cast("string")))
+        )
+        return rows.select(F.explode(bucket).alias("bucket"), key, "vector")
 
     lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="features", outputCol="hashes", bucketLength=width * spread, numHashTables=tables * projections, seed=seed
     )
-    sample = items.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = lsh.fit(sample)
+    model = lsh.fit(placed(items).select(array_to_vector("features").alias("features")))
     local = _grid(hashed(items, "id"), hashed(queries, "query_id"), k, metric, schema)
     unique = local.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    return top_per_key(unique, ["query_id"], ["distance", "id"], k, "rank").withColumn("score", 1.0 - F.col("distance"))
+    found = cut_lineage(top_per_key(unique, ["query_id"], ["distance", "id"], k, "rank"))
+    full = found.filter(F.col("rank") == k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    exact = _top(items, short, k, metric)
+    return found.join(full, "query_id", "left_semi").unionByName(exact).withColumn("score", 1.0 - F.col("distance"))
 
 
 def url_boost(url: Column, query: Column, boosts: tuple = URL_BOOSTS) -> Column:
@@ -347,7 +374,7 @@ def recommend(items: DataFrame, queries: DataFrame, k: int = DEFAULT_COUNT, metr
     titled = near.join(items.drop("vector"), "id").join(queries.select("query_id", "source_title"), "query_id")
     source = F.col("source_title")
     fetched = F.col("rank") <= k + F.when(source.isNotNull(), 1).otherwise(0)
-    other = source.isNull() | ~F.lower("title").contains(F.lower(source))
+    other = source.isNull() | ~F.coalesce(F.lower("title").contains(F.lower(source)), F.lit(False))
     kept = titled.filter(fetched & other).drop("rank")
     return top_per_key(kept, ["query_id"], ["distance", "id"], k, "rank")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from shelfspark.sources.html_pages import decode_entities
 MIN_CHUNK_CHARS = 800
 MAX_CHUNK_CHARS = 2000
 MIN_VALID_CHARS = 100
-MAX_PAGES = 2000
 MAX_PLAIN_ID_CHARS = 100
 MAX_PAGE_TEXT = 4000
 MIN_PAGE_TEXT = 20
@@ -25,20 +26,25 @@ CUT_MARKER = "\n\n[…obsah zkrácen]"
 # Recommendation urls and texts, navigation openings, boilerplate words.
 RECOMMENDATION_URLS = ("/knihovnici-doporucuji", "/tipy-ke-cteni", "/ctenarska-vyzva")
 RECOMMENDATION_TEXT = (
-    "knihovníci doporučují", "tipy ke čtení", "čtenářská výzva", "kniha v našem katalogu", "autor:", "[0-9]+ stran", "isbn",
+    "knihovníci doporučují", "tipy ke čtení", "čtenářská výzva", "kniha v našem katalogu", "autor:", "isbn",
 )
+PAGE_COUNT = "[0-9]+ stran"  # in lower case only
 NAVIGATION_TEXT = (
     "(?:menu|navigace|breadcrumb)", "(?:přejít na|skip to|go to)", "(?:zobrazit|show|hide|skrýt)", "kategorie.*odebrat",
 )
 BOILERPLATE_WORDS = ("cookies", "gdpr", "ochrana osobních údajů")
 SHORT_BOILERPLATE_CHARS = 500
 
-HREF = r"(?i)<a\s[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+# Parts of a page whose markup is not the page's own.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>"
+# The value of the attribute href of an anchor, after any number of other attributes.
+HREF = r"(?i)<a(?=\s)(?:\s+(?!href\b)[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*+\s+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct (src, dst) edges to same-origin pages worth fetching."""
-    quoted = F.array_distinct(F.regexp_extract_all(F.col(html), F.lit(HREF), F.lit(1)))
+    shown = F.regexp_replace(F.col(html), HIDDEN, " ")
+    quoted = F.array_distinct(F.regexp_extract_all(shown, F.lit(HREF), F.lit(1)))
     found = pages.select(normalize_url(url).alias("src"), F.explode(quoted).alias("_quoted"))
     hrefs = found.select("src", decode_entities(F.btrim("_quoted", F.lit("\"'"))).alias("href")).filter("href <> ''")
     resolved = resolve_links(hrefs, "href", "src", "dst")
@@ -47,19 +53,20 @@ def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 
 
 def reachable(
-    edges: DataFrame, seeds: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = 50
+    edges: DataFrame, seeds: DataFrame, max_pages: int | None = None, max_depth: int | None = None
 ) -> DataFrame:
-    """Breadth-first visit order from the seeds: url and depth, first ``max_pages`` of them.
+    """Breadth-first visit order from the seeds: url and depth; all pages, or the first ``max_pages`` and
+    those up to ``max_depth``.
 
-    One join per level; every level is checkpointed, so the plan stays short and a lost
-    executor costs one level at most. Within a level pages are taken in url order.
+    The edges are computed once. One join per level; every level is checkpointed, so the plan stays
+    short and a lost executor costs one level at most. Within a level pages are taken in url order.
     """
-    links = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
+    links = cut_lineage(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
     frontier = cut_lineage(seeds.select("url").distinct())
     visited = frontier.withColumn("depth", F.lit(0))
     seen = frontier.count()
-    for depth in range(1, max_depth + 1):
-        if seen >= max_pages:
+    for depth in itertools.count(1):
+        if (max_pages is not None and seen >= max_pages) or (max_depth is not None and depth > max_depth):
             break
         following = links.join(frontier, F.col("src") == F.col("url")).select(F.col("dst").alias("url")).distinct()
         frontier = cut_lineage(following.join(visited, "url", "left_anti"))
@@ -68,7 +75,8 @@ def reachable(
             break
         seen += found
         visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    return visited.orderBy("depth", "url").limit(max_pages)
+    ordered = visited.orderBy("depth", "url")
+    return ordered if max_pages is None else ordered.limit(max_pages)
 
 
 def _departments(sections: Column) -> Column:
@@ -171,7 +179,7 @@ def chunk_sections(
 def valid_chunk(url: Column, text: Column, content: Column | None = None) -> Column:
     """Long enough, no reading recommendation, no navigation, no short cookie notice."""
     lowered = F.lower(text)
-    recommendation = contains_any(F.lower(url), RECOMMENDATION_URLS) | text.rlike("(?iu)" + "|".join(RECOMMENDATION_TEXT))
+    recommendation = contains_any(F.lower(url), RECOMMENDATION_URLS) | text.rlike("(?iu)" + "|".join(RECOMMENDATION_TEXT)) | text.rlike(PAGE_COUNT)
     navigation = (text if content is None else content).rlike("(?iu)^(?:" + "|".join(NAVIGATION_TEXT) + ")")
     notice = F.length(text) < SHORT_BOILERPLATE_CHARS
     for word in BOILERPLATE_WORDS:

@@ -134,17 +134,23 @@ def nest(spark, sf):
     return df.select("branch", "part", flat.alias("schedule"))
 
 
-@query(
-    "f4_unnest_schedule",
-    f"""WITH {_SLOTS_SQL}, days AS (SELECT branch, day, row_number() OVER (PARTITION BY branch ORDER BY min(ord), day) - 1 AS day_ord FROM rows_ GROUP BY 1, 2)
+_UNNEST_SQL = f"""WITH {_SLOTS_SQL}, days AS (SELECT branch, day, row_number() OVER (PARTITION BY branch ORDER BY min(ord), day) - 1 AS day_ord FROM rows_ GROUP BY 1, 2)
         SELECT branch, CAST(day_ord AS INTEGER) AS day_ord, day,
           CAST(row_number() OVER (PARTITION BY branch, day ORDER BY ord, slot) - 1 AS INTEGER) AS slot_ord, slot
-        FROM rows_ JOIN days USING (branch, day)""",
-)
+        FROM rows_ JOIN days USING (branch, day)"""
+
+
+@query("f4_unnest_schedule", _UNNEST_SQL)
 def unnest(spark, sf):
     return D.unnest_schedule(D.nest_schedule(_slots(spark, sf)))
 
 
+@query("f4_schedule_in_parts", _UNNEST_SQL)
+def unnest_parts(spark, sf):
+    """Branches and days cut into small parts: the answer is the same."""
+    return D.unnest_schedule(D.nest_schedule(_slots(spark, sf), part_size=3))
+
+
 @query(
     "f5_branch_profile",
     _MATCH_SQL
@@ -295,15 +301,18 @@ _CLASS_OUT = " SELECT ord, title, strftime(event_date, '%Y-%m-%d') AS event_date
 _FOUND = f"event_date >= DATE '2024-01-03' AND {_code_sql('type', _CATEGORIES)} = '4' AND {_code_sql('location', _PLACES)} = '10'"
 
 
+_MOST_EVENTS = 30
+
+
 @query("f9_classify_events", _class_sql("true") + _CLASS_OUT)
 def classify(spark, sf):
-    found = D.classify_events(_calendar(spark, sf).drop("event_date"), "2024-01-29", 50)
+    found = D.classify_events(_calendar(spark, sf).drop("event_date"), "2024-01-29", _MOST_EVENTS)
     return found.select("ord", "title", F.col("event_date").cast("string").alias("event_date"), "is_past")
 
 
 def _found_and_classified(spark, sf):
     found = D.filter_events(_calendar(spark, sf), "2024-01-03", "Click", "nation_1", None, None, _CATEGORIES, _PLACES)
-    return D.classify_events(found.drop("event_date"), "2024-01-29", 50)
+    return D.classify_events(found.drop("event_date"), "2024-01-29", _MOST_EVENTS)
 
 
 @query("f9_classify_found", _class_sql(_FOUND) + _CLASS_OUT)

@@ -43,17 +43,23 @@ def limited_hot(spark, sf):
 
 @query("h5_rate_limit_stream", _SQL + _OUT)
 def limited_stream(spark, sf):
-    """The stream drained once from the files into the shared folder."""
-    schema = table(spark, sf, "events").schema
-    # A glob stands for a single file as well as for a folder of part files.
-    source = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
-    decided = limit_stream(source, "user_id", "ts", "event_id", _MAX, _HOURS * 3600)
+    """The requests arrive in four deliveries, in order of time; the stream keeps its state between them."""
+    events = _requests(spark, sf)
+    cuts = events.select(F.approx_percentile(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     path = scratch_path(spark, "limited")
-    running = (
-        decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events
+        part = part if low is None else part.filter(at >= low)
+        part = part if high is None else part.filter(at < high)
+        part.write.mode("append").parquet(f"{path}-in")
+        source = spark.readStream.schema(events.schema).parquet(f"{path}-in")
+        decided = limit_stream(source, "user_id", "ts", "event_id", _MAX, _HOURS * 3600)
+        running = (
+            decided.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
     return _out(spark.read.parquet(path))
 
 

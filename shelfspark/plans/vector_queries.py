@@ -58,6 +58,16 @@ def approximate(spark, sf):
     return _near(V.knn_approx(_items(spark, sf), _centroids(spark, sf), 5))
 
 
+@query("d3_knn_recall", "SELECT true AS reaches_90_percent")
+def recall(spark, sf):
+    """The approximate search finds at least nine tenths of the exact result."""
+    items, asked = _items(spark, sf), _centroids(spark, sf)
+    exact = V.knn(items, asked, 5).select("query_id", "id", F.lit(1).alias("wanted"))
+    found = V.knn_approx(items, asked, 5).select("query_id", "id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "id"], "left")
+    return both.agg((F.count("found") >= 0.9 * F.count("wanted")).alias("reaches_90_percent"))
+
+
 _BOOSTS = (("/en/", ("vedení", "ředitel"), 0.4), ("/fr/", (), 0.2), ("spam-farm", (), -0.5), ("/es/", (), 0.05))
 
 

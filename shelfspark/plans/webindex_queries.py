@@ -102,9 +102,9 @@ def links(spark, sf):
           UNION SELECT DISTINCT 's' || l_suppkey, 'p' || l_partkey FROM lineitem),
         seeds AS (SELECT DISTINCT 's' || s_suppkey AS url FROM supplier WHERE s_acctbal = (SELECT min(s_acctbal) FROM supplier)),
         walk AS (SELECT url, 0 AS depth FROM seeds UNION
-          SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 3),
+          SELECT dst, depth + 1 FROM walk JOIN edges ON src = url WHERE depth < 8),
         best AS (SELECT url, min(depth) AS depth FROM walk GROUP BY url)
-        SELECT url, depth FROM best ORDER BY depth, url LIMIT 1500""",
+        SELECT url, depth FROM best""",
 )
 def reach(spark, sf):
     pairs = table(spark, sf, "lineitem").select(
@@ -116,7 +116,7 @@ def reach(spark, sf):
     suppliers = table(spark, sf, "supplier")
     lowest = suppliers.agg(F.min("s_acctbal")).scalar()
     seeds = suppliers.filter(F.col("s_acctbal") == lowest).select(F.concat(F.lit("s"), "s_suppkey").alias("url"))
-    return E.reachable(edges, seeds, max_pages=1500, max_depth=3)
+    return E.reachable(edges, seeds)
 
 
 _PAGES_SQL = """doc_pages AS (SELECT doc_id, 'https://library.example/kontakt/' || doc_id AS url, '/kontakt/' || doc_id AS path,

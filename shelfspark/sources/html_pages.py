@@ -7,11 +7,13 @@ the one job that runs Python: batch-wise, one small pass per page, no shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.text import _col, trim_ws
 from shelfspark.functions.urls import normalize_url, url_path
@@ -127,16 +129,19 @@ def _section_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.drop(columns="_html")
 
 
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape, na_action="ignore")
+
+
 def decode_entities(c: Column) -> Column:
-    """The named and numeric references that occur in titles and links."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """All named and numeric character references of a short text (a title, a link) decoded."""
+    return _unescaped(c)
 
 
 def page_title(html: Column | str) -> Column:
     title = trim_ws(decode_entities(F.regexp_extract(_col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    return F.when(title == "", "Untitled").otherwise(title)
+    return F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled"))
 
 
 def page_language(html: Column | str) -> Column:

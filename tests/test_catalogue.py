@@ -193,12 +193,27 @@ def test_knn_equals_brute_force(spark, monkeypatch, metric, grid):
     assert {(r["query_id"], r["id"]) for r in got.collect()} == want
 
 
-def test_knn_approx_recall(spark):
-    _, items = vectors(spark, 300)
-    _, queries = vectors(spark, 10, seed=2, name="query_id")
-    exact = {(r["query_id"], r["id"]) for r in V.knn(items, queries, 5, "l2").collect()}
-    close = {(r["query_id"], r["id"]) for r in V.knn_approx(items, queries, 5, "l2", bucket_length=4.0).collect()}
-    assert len(exact & close) / len(exact) > 0.8
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("scale", [0.1, 1.0, 20.0])
+def test_knn_approx_recall_at_any_scale(spark, metric, scale):
+    data, _ = vectors(spark, 400)
+    asked, _ = vectors(spark, 12, seed=2, name="query_id")
+    items = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in enumerate(data)], "id long, vector array<double>")
+    queries = spark.createDataFrame([(i, (v * scale).tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>")
+    exact = {(r["query_id"], r["id"]) for r in V.knn(items, queries, 5, metric).collect()}
+    close = {(r["query_id"], r["id"]) for r in V.knn_approx(items, queries, 5, metric).collect()}
+    assert len(close) == len(exact) == 60
+    assert len(exact & close) / len(exact) >= 0.9
+
+
+def test_large_k_and_null_titles_are_kept(spark):
+    _, items = vectors(spark, 60)
+    _, queries = vectors(spark, 2, seed=2, name="query_id")
+    assert V.knn(items, queries, 50).count() == 100
+    assert V.knn_approx(items, queries, 50).count() == 100
+    titled = items.withColumn("title", F.when(F.col("id") % 2 == 0, F.lit("kniha")))
+    asked = queries.withColumn("source_title", F.lit("Jiná"))
+    assert V.recommend(titled, asked, 60).count() == 120
 
 
 def test_rerank_dedups_boosts_and_limits(spark):

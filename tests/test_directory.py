@@ -77,8 +77,27 @@ def test_nest_schedule_and_back(spark, part_size):
     if part_size == 1000:
         a = nested.filter("branch = 'A'").first()
         assert [(d["day"], d["hours"]) for d in a["schedule"]] == [("Po", ["8-9", "10-12"]), ("St", ["9-10"]), ("Čt", ["1-2"])]
-    back = {(r["branch"], r["day"], r["slot"]) for r in D.unnest_schedule(nested).collect()}
-    assert back == {(b, d, s) for b, d, s, _ in rows if s}
+    back = sorted(tuple(r) for r in D.unnest_schedule(nested).collect())
+    assert back == sorted(
+        [("A", 0, "Po", 0, "8-9"), ("A", 0, "Po", 1, "10-12"), ("A", 1, "St", 0, "9-10"), ("A", 2, "Čt", 0, "1-2"), ("B", 0, "Po", 0, "7-8")]
+    )
+
+
+@pytest.mark.parametrize("part_size", [1000, 2])
+def test_long_day_keeps_its_positions(spark, part_size):
+    rows = [("A", "Po", f"s{i}", i) for i in range(5)] + [("A", "Út", "t", 9)]
+    df = spark.createDataFrame(rows, "branch string, day string, slot string, ord long")
+    nested = D.nest_schedule(df, part_size)
+    got = sorted(tuple(r)[1:] for r in D.unnest_schedule(nested).collect())
+    assert got == [(0, "Po", i, f"s{i}") for i in range(5)] + [(1, "Út", 0, "t")]
+    hours = nested.withColumnRenamed("branch", "hours_branch").withColumns({"hours_ord": F.lit(0), "hours_url": F.lit("/h")})
+    branches = spark.createDataFrame(
+        [("A", 0, [], None, "", "", "")],
+        "branch string, ord int, phones array<string>, email string, address string, transport string, detail_url string",
+    )
+    details = spark.createDataFrame([], "branch string, librarian string, address string, transport string, services array<string>")
+    (one,) = D.branch_profile(branches, hours, details).collect()
+    assert [(d["day"], d["hours"]) for d in one["schedule"]] == [("Po", [f"s{i}" for i in range(5)]), ("Út", ["t"])]
 
 
 @pytest.mark.parametrize(
@@ -122,6 +141,12 @@ def test_classify_events_order_and_limit(spark):
     assert [r["ord"] for r in D.classify_events(events(spark).drop("event_date"), "2024-01-07", 2).collect()] == [3, 1]
 
 
+def test_classify_events_has_no_limit_of_its_own(spark):
+    many = spark.range(45).selectExpr("id AS ord", "'t' AS title", "'3. ledna 2024' AS date")
+    assert D.classify_events(many, "2024-01-07").count() == 45
+    assert D.classify_events(many, "2024-01-07", 40).count() == 40
+
+
 def test_event_details(spark):
     rows = [("18. duben,  13:00 - 17:00   zdarma", "Dnes"), ("100 Kč", "Zítra"), ("Dobrovolné", None)]
     got = D.event_details(spark.createDataFrame(rows, "d string, s string"), "d", "s").collect()

@@ -105,3 +105,33 @@ def test_stream_of_sorted_batches_equals_batch(spark):
     )
     running.awaitTermination()
     assert decided(spark.read.parquet(out)) == brute(rows, 3, 3600)
+
+
+def test_requests_without_key_or_time_get_a_decision(spark):
+    rows = [("a", 1, START), (None, 2, START), (None, 3, START + dt.timedelta(seconds=1)), ("a", 4, None), (None, 5, None)]
+    for hot_rows in (R.HOT_ROWS, 0):
+        got = decided(R.rate_limit(spark.createDataFrame(rows, SCHEMA), "key", "ts", "id", 1, 60, hot_rows=hot_rows))
+        assert got == {
+            1: (START, True, 0, 0), 2: (START, True, 0, 0), 3: (START, False, 0, 59_000),
+            4: (None, False, 0, 0), 5: (None, False, 0, 0),
+        }
+
+
+def test_stream_decides_every_request_in_any_order(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), i, START + dt.timedelta(seconds=rng.randrange(5000))) for i in range(80)]
+    rows += [("a", 100, None), (None, 101, None)]
+    rng.shuffle(rows)
+    folder, out = scratch_path(spark, "late"), scratch_path(spark, "late-out")
+    for n in range(4):
+        spark.createDataFrame(rows[n * 21 : (n + 1) * 21], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    running = (
+        limit_stream(source, "key", "ts", "id", 2, 600).writeStream.format("parquet").option("path", out)
+        .option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    )
+    running.awaitTermination()
+    got = decided(spark.read.parquet(out))
+    assert set(got) == {i for _, i, _ in rows}
+    assert got[100] == got[101] == (None, False, 0, 0)
+    assert sum(ok for _, ok, _, _ in got.values()) >= 2 * 3

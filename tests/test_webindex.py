@@ -218,3 +218,31 @@ def test_page_lookup(spark):
     assert (rows[2]["status"], rows[2]["content"]) == ("no content", None)
     assert rows[3]["content"] == "řádek\n\ndalší dlouhý řádek"
     assert (rows[4]["status"], rows[4]["title"]) == ("unknown page", None)
+
+
+def test_links_are_real_attributes_of_visible_anchors(spark):
+    html = """<!-- <a href="/comment">x</a> --><script>var s = '<a href="/script">';</script>
+    <a data-href="/zz" href="/real">r</a> <a title="a > b" class=x href='/quoted'>q</a> <a hreflang="cs" href=/bare>b</a>
+    <a href="/a&#38;b">amp</a> <a name="none">n</a> <area href="/area"> <a href="">e</a>"""
+    pages = spark.createDataFrame([("https://a.example/x", html)], "url string, html string")
+    got = {r["dst"] for r in E.extract_links(pages).collect()}
+    assert got == {f"https://a.example/{p}" for p in ("real", "quoted", "bare", "a&b")}
+
+
+def test_titles_decode_all_references(spark):
+    rows = [("a", "<title>Otev&iacute;rac&iacute; doba &#225; &amp; v&#xED;ce</title>"), ("b", None), ("c", "<title> </title>")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert [r["title"] for r in html_pages.page_facts(pages).orderBy("url").collect()] == ["Otevírací doba á & více", "Untitled", "Untitled"]
+    assert [r["title"] for r in html_pages.extract_pages(pages).orderBy("url").collect()] == ["Otevírací doba á & více", "Untitled", "Untitled"]
+
+
+def test_page_counts_only_in_lower_case(spark):
+    text = "Nová budova má 300 STRAN popisu a mnoho dalších slov, která jsou tu jen pro délku, a ještě pár navíc. " * 2
+    rows = spark.createDataFrame([(text,), (text.replace("STRAN", "stran"),)], "t string")
+    assert [r[0] for r in rows.select(E.valid_chunk(F.lit("/x"), F.col("t"))).collect()] == [True, False]
+
+
+def test_long_chain_is_walked_to_its_end(spark):
+    edges = spark.createDataFrame([(f"p{i:02d}", f"p{i + 1:02d}") for i in range(60)], "src string, dst string")
+    seeds = spark.createDataFrame([("p00",)], "url string")
+    assert E.reachable(edges, seeds).count() == 61
