@@ -72,6 +72,56 @@ def contact_search(contacts: DataFrame, queries: list[dict], strict: bool = True
     return found.orderBy("query_id", F.desc("score"), "ord")
 
 
+def _words(wanted: Column) -> Column:
+    """Distinct words of two letters or more."""
+    return F.array_distinct(F.filter(F.split(F.replace(wanted, F.lit(","), F.lit(" ")), f"{WS}+"), lambda w: F.length(w) >= 2))
+
+
+def contact_search_table(contacts: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`contact_search` (strict) for a table of queries: query_id, name, role, department, null where not asked.
+
+    A contact scores only where one of its fields holds the query's text or a word of it, or lies in
+    the query's text; both are equi-joins on the rarest piece. Scores are computed for those pairs.
+    """
+    fields = ("name", "role", "department")
+    known = contacts.select("ord", *[F.coalesce(fold(c), F.lit("")).alias(f"_{c}") for c in fields])
+    asked = queries.select("query_id", *[F.coalesce(fold(c), F.lit("")).alias(c) for c in fields])
+
+    def long(key: str, df: DataFrame, name: str, prefix: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(prefix + c).alias(name)) for c in fields])
+        return df.select(key, F.inline(rows)).filter(F.col(name) != "")
+
+    held, texts = long("ord", known, "value", "_"), long("query_id", asked, "wanted", "")
+    single = texts.filter("field <> 'name'").select("query_id", "field", F.explode(_words(F.col("wanted"))).alias("wanted"))
+    elsewhere = single.filter("field = 'role'").select("query_id", F.lit("department").alias("field"), "wanted")
+    needles = texts.unionByName(single).unionByName(elsewhere).distinct().withColumn("_parts", F.array("wanted"))
+    holding = containment_candidates(held, "value", needles, "_parts", ["query_id", "field", "wanted"], ["field"])
+    within = containment_candidates(texts, "wanted", held.withColumn("_parts", F.array("value")), "_parts", ["ord", "field"], ["field"])
+    pairs = holding.filter(F.col("value").contains(F.col("wanted"))).select("query_id", "ord").unionByName(
+        within.filter(F.col("wanted").contains(F.col("value"))).select("query_id", "ord")
+    ).distinct()
+
+    def holds_word(field: Column, wanted: Column) -> Column:
+        return F.exists(_words(wanted), lambda w: field.contains(w))
+
+    def near(field: str, wanted: str) -> Column:
+        f, w = F.col(f"_{field}"), F.col(wanted)
+        return (w != "") & (f.contains(w) | ((f != "") & w.contains(f)))
+
+    def points(condition: Column, n: int) -> Column:
+        return F.when(condition, n).otherwise(0)
+
+    same = (F.col("name") != "") & (F.col("_name") == F.col("name"))
+    score = (
+        F.when(same, EXACT_NAME).when(near("name", "name"), PARTIAL_NAME).otherwise(0)
+        + points(near("role", "role") | holds_word(F.col("_role"), F.col("role")), ROLE_SCORE)
+        + points(holds_word(F.col("_department"), F.col("role")), DEPARTMENT_SCORE)
+        + points(near("department", "department") | holds_word(F.col("_department"), F.col("department")), DEPARTMENT_SCORE)
+    )
+    scored = pairs.join(known, "ord").join(asked, "query_id").select("query_id", "ord", score.alias("score")).filter("score > 0")
+    return scored.join(contacts, "ord").select("query_id", "score", *contacts.columns).orderBy("query_id", F.desc("score"), "ord")
+
+
 def branch_filter(df: DataFrame, col: str, query: str) -> DataFrame:
     """Rows whose folded name contains the query or is contained in it."""
     wanted, name = fold_text(query), fold(col, trim=False)

@@ -59,6 +59,31 @@ def contacts(spark, sf):
     return D.contact_search(_contacts(spark, sf), _CONTACTS)
 
 
+@query(
+    "f1_contact_search_table",
+    """WITH asked AS (SELECT s_suppkey AS query_id, lower(replace(s_name, 'Supplier', 'Customer')) AS name,
+          CASE WHEN n_regionkey = 1 THEN 'machinery, building' END AS role, CASE WHEN n_regionkey > 1 THEN lower(n_name) END AS dept
+          FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+        known AS (SELECT c_custkey AS ord, c_name AS name, c_mktsegment AS role, n_name AS department,
+          lower(c_name) AS n, lower(c_mktsegment) AS r, lower(n_name) AS d FROM customer JOIN nation ON c_nationkey = n_nationkey)
+      SELECT * FROM (SELECT query_id,
+          CASE WHEN n = asked.name THEN 100 WHEN contains(n, asked.name) OR contains(asked.name, n) THEN 10 ELSE 0 END
+          + CASE WHEN asked.role IS NOT NULL AND (contains(r, 'machinery') OR contains(r, 'building') OR contains(asked.role, r)) THEN 5 ELSE 0 END
+          + CASE WHEN asked.role IS NOT NULL AND (contains(d, 'machinery') OR contains(d, 'building')) THEN 5 ELSE 0 END
+          + CASE WHEN dept IS NOT NULL AND (contains(d, dept) OR contains(dept, d)) THEN 5 ELSE 0 END AS score,
+          ord, known.name, known.role, department FROM asked, known) WHERE score > 0""",
+)
+def contact_table(spark, sf):
+    s, n = table(spark, sf, "supplier"), table(spark, sf, "nation")
+    asked = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(
+        F.col("s_suppkey").alias("query_id"),
+        F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"),
+        F.when(F.col("n_regionkey") == 1, F.lit("Machinery, building")).alias("role"),
+        F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("department"),
+    )
+    return D.contact_search_table(_contacts(spark, sf), asked)
+
+
 @query("f2_branch_filter", "SELECT n_nationkey, n_name FROM nation WHERE contains(lower(n_name), 'nation_2') OR contains('nation_2', lower(n_name))")
 def branches(spark, sf):
     return D.branch_filter(table(spark, sf, "nation"), "n_name", "Nátion_2").select("n_nationkey", "n_name")

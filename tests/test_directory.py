@@ -141,6 +141,19 @@ def test_classify_events_order_and_limit(spark):
     assert [r["ord"] for r in D.classify_events(events(spark).drop("event_date"), "2024-01-07", 2).collect()] == [3, 1]
 
 
+def test_contact_table_equals_parameters(spark):
+    asked = [
+        (1, "Jana Nováková", None, None), (2, "nova", None, None), (3, None, "ředitelka knihovny", None), (4, None, "vedení", None),
+        (5, None, None, "oddělení, vedení"), (6, None, None, None), (7, "pan Jana Nováková ml.", "it", "x"),
+    ]
+    queries = spark.createDataFrame(asked, "query_id int, name string, role string, department string")
+    rows = contacts(spark)
+    names = ("query_id", "name", "role", "department")
+    want = D.contact_search(rows, [dict(zip(names, q)) for q in asked])
+    pick = lambda df: sorted((r["query_id"], r["ord"], r["score"]) for r in df.collect())
+    assert pick(D.contact_search_table(rows, queries)) == pick(want)
+
+
 def test_classify_events_has_no_limit_of_its_own(spark):
     many = spark.range(45).selectExpr("id AS ord", "'t' AS title", "'3. ledna 2024' AS date")
     assert D.classify_events(many, "2024-01-07").count() == 45

@@ -12,7 +12,8 @@ SF = f"{TESTDATA}/sf0.001"
 # These run a job while they are built (files, streams, levels), so they are left to the oracle test.
 EAGER = {"h5_rate_limit_stream", "b1_marc_files", "b3_csv_round_trip", "e6_reachable", "h5_rate_limit_hot_keys"}
 PYTHON = {
-    "d1_knn_cosine", "d2_knn_l2", "d3_knn_approx", "d4_search_content", "d7_recommend", "d8_find_by_description",
+    "d1_knn_cosine", "d2_knn_l2", "d3_knn_approx", "d3_knn_recall", "d4_search_content", "d7_recommend", "d8_find_by_description",
+    "e4_page_facts", "e5_extract_links",  # the two thousand named character references
     "e4_extract_pages", "e_refresh_pages_to_chunks", "h5_rate_limit", "h6_rate_limit_state",
 }
 
