@@ -120,10 +120,11 @@ def chunk_sections(
     max_chars: int = MAX_CHUNK_CHARS,
     keep_tail: bool = True,
     valid_only: bool = True,
+    crawled_at: Column | None = None,
 ) -> DataFrame:
     """Chunks of every section, each with page and heading in front; long sections split on sentences.
 
-    The fold runs over sentence lengths and yields cut positions only; texts are put together
+    With ``crawled_at`` every chunk carries it as ``last_crawled``. The fold runs over sentence lengths and yields cut positions only; texts are put together
     once afterwards. No shuffle and one pass: a page is chunked where it is read.
     """
     contact = F.lower("url").contains("/kontakt")
@@ -170,9 +171,10 @@ def chunk_sections(
     )
     if valid_only:
         chunks = chunks.filter(valid_chunk(F.col("url"), F.col("text"), F.col("body")))
+    stamp = [] if crawled_at is None else [crawled_at.alias("last_crawled")]
     return chunks.select(
         "url", "section_ord", F.col("heading").alias("section_heading"), "chunk_index", "text",
-        chunk_hash("text").alias("hash"),
+        chunk_hash("text").alias("hash"), *stamp,
     )
 
 
@@ -244,6 +246,23 @@ def apply_diff(index: DataFrame, to_add: DataFrame, to_remove: DataFrame) -> Dat
     return index.join(to_remove.select("id").distinct(), "id", "left_anti").unionByName(to_add)
 
 
+def refresh_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The next index from freshly crawled chunks: repeated texts count once, unchanged rows keep their age.
+
+    Both: url, section_heading, chunk_index, text, hash, ord, last_crawled; the index also has ``id``. Only
+    keys and hashes are compared; texts join the rows that enter the index.
+    """
+    order = ["url", "section_heading", "chunk_index", "text", "hash", "ord", "last_crawled", "id"]
+    fresh = dedup_by_hash(chunks).withColumn("id", chunk_id(chunk_key()))
+    latest = first_per_key(fresh, ["id"], [F.desc("ord")]).select(*order)
+    old = index.select("id", F.col("hash").alias("_old_hash"))
+    status = latest.select("id", "hash").join(old, "id", "left")
+    entering = status.filter(F.col("_old_hash").isNull() | (F.col("_old_hash") != F.col("hash"))).select("id")
+    staying = status.filter(F.col("_old_hash") == F.col("hash")).select("id")
+    kept = index.select(*order).join(staying, "id", "left_semi")
+    return kept.unionByName(latest.join(entering, "id", "left_semi"))
+
+
 def run_metrics(pages: DataFrame, new: DataFrame, existing: DataFrame, diff: DataFrame) -> DataFrame:
     """Counters of one refresh: pages, chunks, averages, and what the diff changed."""
     n_pages = pages.agg(F.count(F.lit(1))).scalar()

@@ -14,7 +14,7 @@ EAGER = {"h5_rate_limit_stream", "b1_marc_files", "b3_csv_round_trip", "e6_reach
 PYTHON = {
     "d1_knn_cosine", "d2_knn_l2", "d3_knn_approx", "d3_knn_recall", "d4_search_content", "d7_recommend", "d8_find_by_description",
     "e4_page_facts", "e5_extract_links",  # the two thousand named character references
-    "e4_extract_pages", "e_refresh_pages_to_chunks", "h5_rate_limit", "h6_rate_limit_state",
+    "e4_extract_pages", "e_refresh_pages_to_chunks", "e_refresh_index", "h5_rate_limit", "h6_rate_limit_state",
 }
 
 
