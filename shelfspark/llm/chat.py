@@ -5,9 +5,10 @@ assistant. Every turn is given a legal role, joins the message before it or star
 messages inserted where the automaton needs them; dynamic programming finds the cheapest way.
 
 Costs compose: a run of turns is a matrix of the cheapest costs from state to state, and runs combine
-by (min, +) products. Turns are sorted across partitions and cut into blocks of bounded size; blocks
-combine in a tree, states at block borders are read off on the way down, and each block then
-traces its own turns. So one endless conversation spreads over as many tasks as any other rows.
+by (min, +) products. Turns are sorted across partitions and cut into blocks of bounded size, each
+with many conversations. Only the first and last conversation of a block can reach beyond it; the
+matrices of those combine in a tree, states at block borders are read off on the way down, and each
+block then traces its own turns. So one endless conversation spreads over as many tasks as any other rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,6 +169,51 @@ def _borders(level: DataFrame, parents: DataFrame) -> DataFrame:
     return own.cogroup(above).applyInPandas(split, "conv string, block long, first int, last int, ends boolean")
 
 
+def _runs(conversations: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each conversation in a sorted block."""
+    cuts = [k for k in range(1, len(conversations)) if conversations[k] != conversations[k - 1]]
+    return list(zip([0, *cuts], [*cuts, len(conversations)], strict=True))
+
+
+def _total(roles: list[int], steps: np.ndarray) -> np.ndarray:
+    total = steps[roles[0]]
+    for r in roles[1:]:
+        total = product(total, steps[r])
+    return total
+
+
+def _block_borders(placed: DataFrame, costs: Costs) -> DataFrame:
+    """``conv, block, first, last, ends`` for conversations that lie in more than one block."""
+    steps = turn_matrices(costs)
+
+    def edges(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("seq")
+        runs, roles, names = _runs(block["conv"].tolist()), block["role_no"].tolist(), block["conv"].tolist()
+        outer = sorted({runs[0], runs[-1]})
+        return pd.DataFrame({
+            "conv": [names[a] for a, _ in outer], "block": [key[0]] * len(outer),
+            "matrix": [_total(roles[a:b], steps).ravel() for a, b in outer],
+        })
+
+    found = placed.select("conv", "block", "seq", "role_no").groupBy("block").applyInPandas(
+        edges, "conv string, block long, matrix array<long>"
+    )
+    found = written(found, "edges")
+    spread = written(found.groupBy("conv").count().filter("count > 1").select("conv"), "spread")
+    levels = [written(found.join(spread, "conv"), "level")]
+    while not levels[-1].groupBy("conv").count().filter("count > 1").isEmpty():
+        levels.append(written(_combined(levels[-1]), "level"))
+
+    def best_ends(matrices: pd.Series) -> pd.Series:
+        return matrices.map(lambda m: last_state(np.array(m, dtype=np.int64).reshape(4, 4), costs))
+
+    ending = F.pandas_udf(best_ends, "int")
+    borders = levels[-1].select("conv", "block", F.lit(START).alias("first"), ending("matrix").alias("last"), F.lit(True).alias("ends"))
+    for level in reversed(levels[:-1]):
+        borders = written(_borders(level, borders), "borders")
+    return borders
+
+
 def repair(
     turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     costs: Costs = Costs(), template: Template = Template(),
@@ -187,38 +234,22 @@ def repair(
     order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("role"), F.xxhash64("text"), F.col("text")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
     placed = written(placed.withColumn("block", F.shiftright("seq", BLOCK_BITS)), "turns")
+    borders = _block_borders(placed, costs)
     steps = turn_matrices(costs)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for r in group.sort_values("seq")["role_no"]:
-            total = steps[r] if total is None else product(total, steps[r])
-        return pd.DataFrame({"conv": [group["conv"].iloc[0]], "block": [group["block"].iloc[0]], "matrix": [total.ravel()]})
-
-    matrix = "conv string, block long, matrix array<long>"
-    levels = [written(placed.select("conv", "block", "seq", "role_no").groupBy("conv", "block").applyInPandas(fold, matrix), "level")]
-    while not levels[-1].groupBy("conv").count().filter("count > 1").isEmpty():
-        levels.append(written(_combined(levels[-1]), "level"))
-
-    def open_ends(group: pd.Series) -> pd.Series:
-        return group.map(lambda m: last_state(np.array(m, dtype=np.int64).reshape(4, 4), costs))
-
-    ending = F.pandas_udf(open_ends, "int")
-    borders = levels[-1].select("conv", "block", F.lit(START).alias("first"), ending("matrix").alias("last"), F.lit(True).alias("ends"))
-    for level in reversed(levels[:-1]):
-        borders = written(_borders(level, borders), "borders")
-
-    def trace(block: pd.DataFrame, border: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("seq")
-        b = border.iloc[0]
-        found = repair_block(block["role_no"].tolist(), block["text"].tolist(), int(b["first"]), int(b["last"]), bool(b["ends"]), costs, template)
-        new = pd.DataFrame(found, columns=["new_role", "action", "inserted", "piece"], index=block.index)
-        return pd.concat([block[["conv", "seq", "role"]], new], axis=1)
-
-    traced = placed.select("conv", "block", "seq", "role_no", "role", "text").groupBy("conv", "block").cogroup(
-        borders.groupBy("conv", "block")
-    ).applyInPandas(trace, "conv string, seq long, role string, new_role string, action string, inserted string, piece string")
-    numbers = placed.select(F.col("seq").alias("_seq"), "conv_id", "turn")
-    return traced.join(numbers, F.col("seq") == F.col("_seq")).select(
-        "conv_id", "turn", "seq", "role", "new_role", "action", "inserted", "piece"
-    )
+    def trace(block: pa.Table, border: pa.Table) -> pa.Table:
+        block = block.sort_by("seq")
+        names, roles, texts = (block.column(c).to_pylist() for c in ("conv", "role_no", "text"))
+        known = {b["conv"]: b for b in border.to_pylist()}
+        found = []
+        for a, b in _runs(names):
+            own = known.get(names[a]) or {"first": START, "last": last_state(_total(roles[a:b], steps), costs), "ends": True}
+            found += repair_block(roles[a:b], texts[a:b], own["first"], own["last"], own["ends"], costs, template)
+        out = block.select(["conv_id", "turn", "seq", "role"])
+        for name, column in zip(("new_role", "action", "inserted", "piece"), zip(*found, strict=True), strict=True):
+            out = out.append_column(name, pa.array(column, pa.string()))
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, seq long, role {kinds['role']}, new_role string, action string, inserted string, piece string"
+    return placed.groupBy("block").cogroup(borders.groupBy("block")).applyInArrow(trace, schema)
