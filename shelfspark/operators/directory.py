@@ -174,11 +174,14 @@ def nest_schedule(rows: DataFrame, part_size: int = 1000) -> DataFrame:
     """
     filled = rows.filter(F.col("slot").isNotNull() & (F.col("slot") != ""))
     if groups_within(filled, ["branch"], part_size):
-        days = filled.groupBy("branch", "day").agg(F.sort_array(F.collect_list(F.struct("ord", "slot"))).alias("_seen"))
-        opening = F.struct(F.col("_seen")[0]["ord"].alias("first"), "day", F.transform("_seen", lambda s: s["slot"]).alias("hours"))
-        branches = days.groupBy("branch").agg(F.sort_array(F.collect_list(opening)).alias("_days"))
-        placed = F.transform("_days", lambda d, i: _day(d["day"], d["hours"], i, F.lit(0)))
-        return branches.select("branch", F.lit(0).cast("bigint").alias("part"), placed.alias("schedule"))
+        seen = filled.groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("ord", "day", "slot"))).alias("_seen"))
+        days = F.array_distinct(F.transform("_seen", lambda s: s["day"]))
+
+        def hours_of(day: Column) -> Column:
+            return F.transform(F.filter("_seen", lambda s: s["day"] == day), lambda s: s["slot"])
+
+        placed = F.transform(days, lambda d, i: _day(d, hours_of(d), i, F.lit(0)))
+        return seen.select("branch", F.lit(0).cast("bigint").alias("part"), placed.alias("schedule"))
     bucket = F.floor(F.col("ord") / ORD_BUCKET)
     slots = nest_in_parts(filled, ["branch", "day"], ["ord", "slot"], bucket, F.struct("slot", "ord"), "_slots", part_size)
     opened = slots.filter("part = 0").select("branch", "day", F.col("_slots")[0]["ord"].alias("ord"))
