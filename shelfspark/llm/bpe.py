@@ -10,6 +10,7 @@ words repeat more without their punctuation. Any other text goes through the tok
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -23,10 +24,22 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 LAST_PLAIN = "\u024f"
 SENTENCE_MARKS = ".,;:!?"
 WHITE_RUN = re.compile(r"\s\s")
-MAX_WORDS = 300_000
+MAX_WORDS = 600_000
+MAX_PIECES = 300_000
 ID_BYTES = 4
 
 
+class _Words(dict):
+    """Ids by word; a word that is looked up for the first time is encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        return self.encode(word)
+
+
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -35,7 +48,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
         self.max_words = max_words
         others = (b for b in range(256) if b not in PRINTABLE)
@@ -47,7 +60,7 @@ class WordEncoder:
     def _piece(self, piece: str) -> bytes:
         spelled = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         ids = b"".join([t.id.to_bytes(ID_BYTES, "little") for t in self.tokenizer.model.tokenize(spelled)])
-        if len(self.pieces) < self.max_words:
+        if len(self.pieces) < MAX_PIECES:
             self.pieces[piece] = ids
         return ids
 
@@ -76,8 +89,7 @@ class WordEncoder:
         if WHITE_RUN.search(text):
             return self._whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
-        known, new = self.words.get, self._word
-        return b"".join([self._whole(first) if first else b"", *[known(w) or new(w) for w in rest]])
+        return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
