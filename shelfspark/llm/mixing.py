@@ -5,8 +5,12 @@ inclusion probability. The flight phase moves probabilities along the null space
 constraints (documents, tokens): each step settles at least one document at 0 or 1 and leaves both
 totals where they were. Documents are dealt into buckets of bounded size, each flown in its own
 task; the at most two unsettled documents of every bucket meet in the next level's buckets, until
-one bucket per source is left. Units fly in descending size; the last two unsettled and the ``HELD``
-smallest documents are landed by trying all their outcomes.
+one bucket per source is left. One bucket of every source waits for the landing: what is still
+unsettled then, and the ``HELD`` smallest documents, are landed by trying all their outcomes, and
+documents of that bucket change places until the words fit.
+
+Documents of more than ``LONG`` times the mean size of their source are settled first, by the same
+steps; the words they miss are spread over the probabilities of the source's other documents.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ FAN = 250
 PART_BITS = 33
 NEAR = 1e-9
 HELD = 10
+LONG = 32
 
 
 def word_count(text: Column) -> Column:
@@ -125,24 +130,47 @@ def flight(probs: list[float], sizes: list[int], seed: int) -> list[float]:
     return out
 
 
-def landing(probs: list[float], sizes: list[int]) -> list[float]:
-    """The outcome of 0 and 1 with the least change of the tokens, then of the documents; all are tried."""
-    open_rows = [k for k, p in enumerate(probs) if 0 < p < 1]
+def landing(probs: list[float], sizes: list[int], wanted: float) -> list[float]:
+    """All 0 or 1, with a sum of sizes near ``wanted``: of all outcomes of the open units the nearest, then a taken
+    and a left unit change places, or a single one changes, as long as that brings the sum nearer.
+
+    The change that brings it nearest goes first; of equal ones a change of places, which keeps the number.
+    """
+    size = np.array(sizes, dtype=float)
+    out = np.array(probs)
+    open_rows = np.flatnonzero((out > 0) & (out < 1))
     outcomes = (np.arange(1 << len(open_rows))[:, None] >> np.arange(len(open_rows))) & 1
-    moved = outcomes - np.array([probs[k] for k in open_rows])
-    tokens = np.abs(moved @ np.array([sizes[k] for k in open_rows], dtype=float)).round(6)
-    best = np.lexsort((np.abs(moved.sum(axis=1)).round(6), tokens))[0]
-    out = list(probs)
-    for k, x in zip(open_rows, outcomes[best], strict=True):
-        out[k] = float(x)
-    return out
+    moves = outcomes - out[open_rows]
+    missed = np.abs(out @ size - wanted + moves @ size[open_rows]).round(6)
+    out[open_rows] = outcomes[np.lexsort((np.abs(moves.sum(axis=1)).round(6), missed))[0]]
+    over = float(out @ size - wanted)
+    while True:
+        taken, left = np.flatnonzero(out == 1), np.flatnonzero(out == 0)
+        best, change = round(abs(over), 6), ()
+        if len(taken) and len(left):
+            left = left[np.argsort(size[left], kind="stable")]
+            fit = np.searchsorted(size[left], size[taken] - over)
+            for near in (fit - 1, fit):
+                near = left[near.clip(0, len(left) - 1)]
+                after = np.abs(over + size[near] - size[taken]).round(6)
+                k = int(after.argmin())
+                if after[k] < best:
+                    best, change = after[k], (int(taken[k]), int(near[k]))
+        single = np.abs(over + np.where(out == 1, -size, size)).round(6)
+        if len(single) and single.min() < best:
+            change = (int(single.argmin()),)
+        if not change:
+            return out.tolist()
+        for k in change:
+            out[k] = 1 - out[k]
+        over = float(out @ size - wanted)
 
 
 def settled(probs: list[float], sizes: list[int], seed: int, land: bool) -> list[float]:
     """Flight; with ``land`` the last ``HELD`` units wait for the landing, which settles all."""
     n = max(0, len(probs) - HELD) if land else len(probs)
     flown = flight(probs[:n], sizes[:n], seed) + list(probs[n:])
-    return landing(flown, sizes) if land else flown
+    return landing(flown, sizes, float(np.dot(probs, sizes))) if land else flown
 
 
 def _flown(units: DataFrame, level: int, land: bool) -> DataFrame:
@@ -155,29 +183,54 @@ def _flown(units: DataFrame, level: int, land: bool) -> DataFrame:
     return units.groupBy("source_no", "bucket").applyInPandas(fly, units.schema)
 
 
-def balanced_sample(units: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
-    """``units(source_no, unit, size, prob, n_units)`` to the same rows with ``prob`` 0 or 1.
-
-    Within each source the sum of ``prob`` and of ``prob * size`` stay, but for the small landing. Units with equal (source_no, unit, size) must be interchangeable.
-    """
+def _settled_units(units: DataFrame, bucket_rows: int) -> DataFrame:
     n_buckets = F.ceil(F.col("n_units") / F.lit(bucket_rows))
     deal = F.xxhash64("unit", "size")
     dealt = units.withColumn("deal", deal).withColumn("bucket", F.pmod(F.col("deal"), n_buckets)).drop("n_units")
+    waiting = open_units = dealt.filter("bucket = 0")
     most = units.agg(F.max(n_buckets)).first()[0] or 1
-    done, level = [], 0
-    while True:
-        flown = written(_flown(dealt, level, land=most == 1), "flown")
+    dealt, done, level = dealt.filter("bucket > 0"), [], 0
+    while most > 1:
+        flown = written(_flown(dealt, level, land=False), "flown")
         done.append(flown.filter("prob = 0 or prob = 1"))
-        if most == 1:
-            break
         dealt = flown.filter("prob > 0 and prob < 1").withColumn("bucket", F.floor(F.col("bucket") / F.lit(FAN)))
         most, level = -(-most // FAN), level + 1
-    units = done[0]
-    for more in done[1:]:
+        open_units = waiting.unionByName(dealt.withColumn("bucket", F.lit(0).cast(waiting.schema["bucket"].dataType)))
+    units = written(_flown(open_units, level, land=True), "landed")
+    for more in done:
         units = units.unionByName(more)
     return units.drop("deal", "bucket")
 
 
+def balanced_sample(units: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
+    """``units(source_no, unit, size, prob, n_units)`` to the same rows with ``prob`` 0 or 1.
+
+    Within each source the sum of ``prob`` and of ``prob * size`` stay, but for the small landing. Units with equal (source_no, unit, size) must be interchangeable.
+    """
+    means = units.groupBy("source_no").agg((F.avg("size") * F.lit(LONG)).alias("_long"))
+    split = units.join(F.broadcast(means), "source_no").withColumn("_is_long", F.col("size") > F.col("_long"))
+    split = split.select(*units.columns, "_is_long")
+    long = split.filter("_is_long").drop("_is_long")
+    if long.isEmpty():
+        return _settled_units(units, bucket_rows)
+    numbers = long.groupBy("source_no").agg(F.count(F.lit(1)).alias("n_units"))
+    long = written(long.drop("n_units").join(numbers, "source_no").select(*units.columns), "long")
+    landed = written(_settled_units(long, bucket_rows), "long-landed")
+    words = F.col("prob") * F.col("size")
+    missed = long.select("source_no", words.alias("w")).unionByName(landed.select("source_no", (-words).alias("w")))
+    missed = missed.groupBy("source_no").agg(F.sum("w").alias("_missed"))
+    rest = split.filter("not _is_long").drop("_is_long")
+    # room to go up or down: the share of it that is used is the same for all documents of a source
+    rooms = rest.groupBy("source_no").agg(F.sum((1 - F.col("prob")) * F.col("size")).alias("_up"), F.sum(words).alias("_down"))
+    spread = written(missed.join(rooms, "source_no", "left"), "spread")
+    room = F.when(F.col("_missed") > 0, F.col("_up")).otherwise(F.col("_down"))
+    used = F.least(F.coalesce(F.abs("_missed") / F.when(room > 0, room), F.lit(0.0)), F.lit(1.0))
+    moved = F.when(F.col("_missed") > 0, F.col("prob") + used * (1 - F.col("prob"))).otherwise(F.col("prob") * (1 - used))
+    rest = rest.join(spread, "source_no", "left").withColumn("prob", F.when(F.col("_missed").isNull(), F.col("prob")).otherwise(moved))
+    rest = written(rest.select(*units.columns), "rest")
+    return _settled_units(rest, bucket_rows).unionByName(landed)
+
+
 def mix_groups(
     docs: DataFrame,
     id_col: str = "doc_id",

@@ -112,3 +112,27 @@ def test_flight_keeps_totals():
     assert set(landed) == {0.0, 1.0}
     assert abs(sum(x * s for x, s in zip(landed, sizes)) - sum(p * s for p, s in zip(probs, sizes))) <= 1
     assert mixing.settled([], [], 1, True) == []
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_query_meets_targets_at_larger_sizes(llm_spark, name):
+    folder = SMALL.replace("sf0.001", name)
+    docs = llm_spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    out = queries.QUERIES["op8_mix_sources"](llm_spark, folder).collect()
+    check([tuple(r) for r in docs.collect()], out, slack=20)
+
+
+def test_one_very_long_document(llm_spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(150, 230), "a") for i in range(500)] + [(999, "w " * 60_000, "a")]
+    rows += [(1000 + i, "w " * rng.randint(150, 230), "b") for i in range(2_500)] + [(5000, "w " * 40_000, "b")]
+    docs = llm_spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    check(rows, mixing.mix(docs).collect(), slack=5)
+
+
+def test_landing_covers_a_long_open_unit():
+    sizes = [20_000, *range(100, 300)]
+    wanted = 20_000 * 0.4 + sum(sizes[1:101])
+    landed = mixing.landing([0.4, *[1.0] * 100, *[0.0] * 100], sizes, wanted)
+    assert set(landed) == {0.0, 1.0}
+    assert abs(sum(x * s for x, s in zip(landed, sizes, strict=True)) - wanted) <= 1
