@@ -8,11 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import chat, language_id, mixing, packing, quality_crf, quality_rules, simhash, token_counts, topk, toxicity
+from shelfspark.llm import (
+    chat,
+    language_id,
+    mixing,
+    packing,
+    pieces,
+    quality_crf,
+    quality_rules,
+    simhash,
+    token_counts,
+    topk,
+    toxicity,
+)
 from shelfspark.session import scratch_path
 
 #: Where the public tokenizer files are; every executor has the package.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -111,3 +124,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chat_role_repair")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(decimal, 256).alias("ids_sha256"),
+        F.sha2(pieces.decode(F.col("ids"), PIECES), 256).alias("decoded_sha256"),
+    )
