@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfspark.session import cut_lineage
+
 MAX_LOOKUP_ROWS = 1000
 MAX_GROUP_ROWS = 1_000_000
+#: A partition's rows take this many low bits of ``monotonically_increasing_id``.
+PARTITION_BITS = 33
 
 
 def groups_within(df: DataFrame, keys: list[str], most: int) -> bool:
@@ -65,6 +69,28 @@ def numbered(
     )
 
 
+def globally_numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """1-based position of each row in the order of the whole table, in a column ``name``.
+
+    The rows are sorted into range partitions and written once; what one partition adds to the positions of
+    the next ones is the sum of the counts before it, one number per partition. Nothing is gathered.
+    Rows equal in all of ``order`` get neighbouring positions in any order. ``name`` must be a new column.
+    """
+    spark, at = df.sparkSession, F.monotonically_increasing_id()
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, at))
+    part = F.shiftright(name, PARTITION_BITS)
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    ahead, rows = 0, []
+    for row in sorted(counts):
+        rows.append((row["part"], ahead - (row["part"] << PARTITION_BITS) + 1))
+        ahead += row["n"]
+    if not rows:
+        return placed
+    offsets = spark.createDataFrame(rows, "_part bigint, _ahead bigint")
+    joined = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.select(*df.columns, (F.col(name) + F.col("_ahead")).alias(name))
+
+
 def carry_forward(
     df: DataFrame,
     keys: list[str],

@@ -249,18 +249,15 @@ def apply_diff(index: DataFrame, to_add: DataFrame, to_remove: DataFrame) -> Dat
 def refresh_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
     """The next index from freshly crawled chunks: repeated texts count once, unchanged rows keep their age.
 
-    Both: url, section_heading, chunk_index, text, hash, ord, last_crawled; the index also has ``id``. Only
-    keys and hashes are compared; texts join the rows that enter the index.
+    Both: url, section_heading, chunk_index, text, hash, ord, last_crawled; the index also has ``id``. Of
+    index rows that share an id the one with the highest ord counts, so the result has each id once.
     """
     order = ["url", "section_heading", "chunk_index", "text", "hash", "ord", "last_crawled", "id"]
     fresh = dedup_by_hash(chunks).withColumn("id", chunk_id(chunk_key()))
     latest = first_per_key(fresh, ["id"], [F.desc("ord")]).select(*order)
-    old = index.select("id", F.col("hash").alias("_old_hash"))
-    status = latest.select("id", "hash").join(old, "id", "left")
-    entering = status.filter(F.col("_old_hash").isNull() | (F.col("_old_hash") != F.col("hash"))).select("id")
-    staying = status.filter(F.col("_old_hash") == F.col("hash")).select("id")
-    kept = index.select(*order).join(staying, "id", "left_semi")
-    return kept.unionByName(latest.join(entering, "id", "left_semi"))
+    current = first_per_key(index.select(*order), ["id"], [F.desc("ord"), "hash", "last_crawled"])
+    kept = current.join(latest.select("id", "hash"), ["id", "hash"], "left_semi").select(*order)
+    return kept.unionByName(latest.join(current.select("id", "hash"), ["id", "hash"], "left_anti"))
 
 
 def run_metrics(pages: DataFrame, new: DataFrame, existing: DataFrame, diff: DataFrame) -> DataFrame:

@@ -54,3 +54,14 @@ def test_nest_in_parts_keeps_every_item_in_order(spark):
 def test_bounded_rows_tells_large_tables_apart(spark):
     assert len(skew.bounded_rows(spark.range(5), 5)) == 5
     assert skew.bounded_rows(spark.range(6), 5) is None
+
+
+def test_global_numbers_follow_the_order(spark):
+    data, df = _rows(spark)
+    for partitions in (1, 7):
+        got = skew.globally_numbered(df.repartition(partitions), [F.desc_nulls_last("k"), "o"], "n").orderBy("n").collect()
+        assert [r["n"] for r in got] == list(range(1, len(data) + 1))
+        hot, rest = [r for r in got if r["k"] is not None], [r for r in got if r["k"] is None]
+        assert [r["n"] for r in rest] == list(range(len(hot) + 1, len(data) + 1))
+        assert [(r["k"], -r["o"]) for r in hot] == sorted(((r["k"], -r["o"]) for r in hot), reverse=True)
+    assert skew.globally_numbered(df.limit(0), ["o"], "n").collect() == []
