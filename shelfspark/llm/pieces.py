@@ -4,44 +4,44 @@ Where no piece of the model crosses from another character into a white-space ma
 joins what stands before a marker with what follows, so a text can be cut before each run of markers
 (and around line feeds, which no piece holds); its ids are those of its chunks in order.
 
-1. Chunks are counted over all texts, combined inside tasks first.
-2. Each distinct chunk is segmented once; the table (chunk, n, ids) is written.
-3. The most frequent chunks, at most ``MAX_HOT`` of at most ``HOT_CHARS`` characters, go to every task,
-   where they are joined by look-up. The other chunks of a text are joined with the table in a shuffle,
-   once per text and chunk, and come back by the digest of the text; of the text itself its packed
-   ids travel, with numbered holes for those chunks.
-
-A chunk that a third of all texts hold is in the look-up or, if it is too long for that, on the side of a
-join that adaptive execution splits, as are copies of one text. A model of another kind than checked in
-:class:`Cutter` makes each text one chunk, so its ids stay right.
+1. The distinct chunks that repeat in a sample of about ``SAMPLE`` documents at most are counted, and the most frequent
+   ones, at most ``MAX_HOT`` of at most ``HOT_CHARS`` characters, are segmented once each: a table (chunk, ids).
+2. Every task has that table and joins the ids to a text's chunks by position. A chunk outside the table is
+   segmented once for its text and remembered by the worker, as long as it remembers fewer than
+   ``MAX_REMEMBERED``. The sample decides only by which way a chunk gets its ids, never which ids.
+
+Nothing of a document is shuffled. (Sending the rare chunks to where equal ones meet and their ids back to the
+texts segments each only once in all, but moves more bytes than it saves work; figures in the README.) A model
+of another kind than checked in :class:`Cutter` makes each text one chunk, so its ids stay right.
 """
 
 from __future__ import annotations
 
-import struct
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
-import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm.scratch import written
+from shelfspark.llm.scratch import sample_share, written
 
 MARK, LINE = "▁", "\n"
 BPE = 2
-MAX_HOT = 500_000
-HOT_CHARS = 48
+SEED = 42
+SAMPLE = 65_536
+MAX_HOT = 400_000
+HOT_CHARS = 64
 MAX_COUNTED = 400_000
 CALL_CHUNKS = 50_000
 CALL_CHARS = 1 << 21
 LEVELS = 8
-HOLE = 0xFFFFFFFF
-HOLE_BYTES = struct.pack("<I", HOLE)
+MAX_REMEMBERED = 200_000
 
 
 class Cutter:
@@ -104,12 +104,38 @@ def cutter(path: str) -> Cutter:
     return Cutter(path)
 
 
+@lru_cache(maxsize=2)
+def remembered(path: str) -> dict[str, bytes]:
+    """Packed ids of the rare chunks that a worker process has segmented."""
+    return {}
+
+
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def distinct_chunks(texts: DataFrame, text_col: str, model: str) -> DataFrame:
-    """``(chunk, n, ids)``: each distinct chunk of all texts, its occurrences and its packed ids."""
+def _segmented(chunks: list[str], model: str) -> list[bytes]:
+    ids_of, out = cutter(model).ids, []
+    for at in _calls(chunks):
+        out += map(packed, ids_of(chunks[at]))
+    return out
+
+
+def _calls(chunks: list[str]) -> Iterator[slice]:
+    """Slices of bounded length and bounded characters (one longer chunk is a slice of its own)."""
+    start, chars = 0, 0
+    for k, chunk in enumerate(chunks):
+        if k > start and (k - start >= CALL_CHUNKS or chars + len(chunk) > CALL_CHARS):
+            yield slice(start, k)
+            start, chars = k, 0
+        chars += len(chunk)
+    if start < len(chunks):
+        yield slice(start, len(chunks))
+
+
+def frequent_chunks(texts: DataFrame, model: str, most: int, sample: int) -> dict[str, bytes]:
+    """Short chunks that repeat in the sample, and their ids: all above the smallest level of frequency that
+    leaves at most ``most``."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut, counts = cutter(model).cut, Counter()
@@ -123,125 +149,63 @@ def distinct_chunks(texts: DataFrame, text_col: str, model: str) -> DataFrame:
             yield pd.DataFrame({"chunk": list(counts.keys()), "n": list(counts.values())})
 
     def segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = cutter(model).ids
         for batch in batches:
-            ids: list[bytes] = []
-            for at in _calls(batch["chunk"]):
-                ids += map(packed, ids_of(list(batch["chunk"].iloc[at])))
-            yield batch.assign(ids=ids)
-
-    found = texts.select(F.col(text_col).alias("text")).mapInPandas(counted, "chunk string, n bigint")
-    total = found.groupBy("chunk").agg(F.sum("n").alias("n"))
-    return total.mapInPandas(segmented, "chunk string, n bigint, ids binary")
-
+            yield batch.assign(ids=_segmented(batch["chunk"].tolist(), model))
 
-def _calls(chunks: pd.Series) -> Iterator[slice]:
-    """Slices of bounded length and bounded characters (one longer chunk is a slice of its own)."""
-    start, chars = 0, 0
-    for k, chunk in enumerate(chunks):
-        if k > start and (k - start >= CALL_CHUNKS or chars + len(chunk) > CALL_CHARS):
-            yield slice(start, k)
-            start, chars = k, 0
-        chars += len(chunk)
-    if start < len(chunks):
-        yield slice(start, len(chunks))
-
-
-def frequent_chunks(table: DataFrame, most: int) -> dict[str, bytes]:
-    """Short chunks above the smallest frequency level that leaves at most ``most`` of them."""
-    short = table.filter(F.length("chunk") <= HOT_CHARS).withColumn("level", F.floor(F.log2("n") * LEVELS))
+    share = sample_share(texts.count(), sample)
+    some = texts.select("text") if share == 1.0 else texts.select("text").sample(share, seed=SEED)
+    total = some.mapInPandas(counted, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+    short = total.filter((F.col("n") > 1) & (F.length("chunk") <= HOT_CHARS)).withColumn("level", F.floor(F.log2("n") * LEVELS))
+    table = written(short.select("level", "chunk", "n").mapInPandas(segmented, "level bigint, chunk string, n bigint, ids binary"), "chunks")
     left, least = most, None
-    for row in sorted(short.groupBy("level").agg(F.count(F.lit(1)).alias("chunks")).collect(), reverse=True):
-        left -= row["chunks"]
+    for level, chunks in sorted(map(tuple, table.groupBy("level").agg(F.count(F.lit(1))).collect()), reverse=True):
+        left -= chunks
         if left < 0:
             break
-        least = row["level"]
+        least = level
     if least is None:
         return {}
-    return {r["chunk"]: bytes(r["ids"]) for r in short.filter(F.col("level") >= least).select("chunk", "ids").toLocalIterator()}
-
-
-def _holes(text: Column, model: str, hot) -> Column:
-    """The distinct chunks of a text that are not in the look-up, in the order of their first use."""
-
-    @F.pandas_udf("array<string>")
-    def found(texts: pd.Series) -> pd.Series:
-        cut, known = cutter(model).cut, hot.value
-        return pd.Series([list(dict.fromkeys([x for x in cut(text) if x not in known])) for text in texts], dtype=object)
-
-    return found.asNondeterministic()(text)
-
+    rows = table.filter(F.col("level") >= least).select("chunk", "ids").collect()
+    return {r["chunk"]: bytes(r["ids"]) for r in rows}
 
-def _with_holes(text: Column, model: str, hot) -> Column:
-    """Packed ids of a text; where a chunk is not in the look-up, a mark and the chunk's number among those."""
 
-    @F.pandas_udf(T.BinaryType())
+def _encoded(text: Column, model: str, table: Broadcast, ends: list[int]) -> Column:
+    @F.pandas_udf("array<int>")
     def looked_up(texts: pd.Series) -> pd.Series:
-        cut, known, pack = cutter(model).cut, hot.value.get, zstandard.ZstdCompressor(level=1).compress
+        cut, known, rare, tail = cutter(model).cut, table.value.get, remembered(model), packed(ends)
         out = []
         for text in texts:
             chunks = cut(text)
             ids = list(map(known, chunks))
             if None in ids:
-                holes: dict[str, bytes] = {}
-                for k, x in enumerate(ids):
-                    if x is None:
-                        number = holes.get(chunks[k])
-                        if number is None:
-                            number = holes[chunks[k]] = HOLE_BYTES + struct.pack("<I", len(holes))
-                        ids[k] = number
-            out.append(pack(b"".join(ids)))
+                others = {x for x, found in zip(chunks, ids, strict=True) if found is None}
+                own = {x: rare[x] for x in others if x in rare}
+                new = list(others - own.keys())
+                own.update(zip(new, _segmented(new, model), strict=True))
+                if len(rare) < MAX_REMEMBERED:
+                    rare.update((x, own[x]) for x in new if len(x) <= HOT_CHARS)
+                ids = [own[x] if found is None else found for x, found in zip(chunks, ids, strict=True)]
+            out.append(np.frombuffer(b"".join(ids) + tail, "<i4"))
         return pd.Series(out, dtype=object)
 
     return looked_up.asNondeterministic()(text)
 
 
-def filled(ids: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """Ids with every hole replaced by the ids of its chunk."""
-    at = np.flatnonzero(ids == HOLE)
-    if not len(at):
-        return ids
-    out, done = [], 0
-    for k, number in zip(at.tolist(), ids[at + 1].tolist(), strict=True):
-        out += [ids[done:k], np.frombuffer(parts[number], "<u4")]
-        done = k + 2
-    return np.concatenate([*out, ids[done:]])
-
-
-def _filled(text: Column, parts: Column, ends: list[int]) -> Column:
-    @F.pandas_udf("array<int>")
-    def fill(packs: pd.Series, found: pd.Series) -> pd.Series:
-        unpack = zstandard.ZstdDecompressor().decompress
-        tail = np.array(ends, dtype=np.int32)
-        return pd.Series(
-            [np.append(filled(np.frombuffer(unpack(p), "<u4"), x).astype(np.int32), tail) for p, x in zip(packs, found, strict=True)],
-            dtype=object,
-        )
-
-    return fill.asNondeterministic()(text, parts)
-
-
-def encode(docs: DataFrame, model: str, text_col: str = "text", end: bool = True, max_hot: int = MAX_HOT) -> DataFrame:
+def encode(
+    docs: DataFrame, model: str, text_col: str = "text", end: bool = True, max_hot: int = MAX_HOT, sample: int = SAMPLE
+) -> DataFrame:
     """``docs`` with the column ``ids`` (array<int>) in place of the text.
 
-    The ids are those of ``SentencePieceProcessor(model).encode(text)``, with the model's end id where
-    ``end`` is set. A null text counts as empty and has that id only. Repeated rows and ids stay as they are; other columns are
+    The ids are those of ``SentencePieceProcessor(model).encode(text)``, with the model's end id where ``end`` is set.
+    A null text counts as empty and has that id only. Repeated rows and ids stay as they are; other columns are
     carried along under any name, except that one called ``ids`` gives way. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c not in (text_col, "ids")]
-    carried = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
-    rows = docs.select(carried.alias("row"), text.alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    table = written(distinct_chunks(rows, "text", model), "chunks")
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_chunks(table, max_hot))
-    holes = rows.select("key", F.posexplode(_holes(F.col("text"), model, hot)).alias("k", "chunk"))
-    found = holes.join(table.select("chunk", "ids"), "chunk").select("key", "k", "ids")
-    parts = found.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("parts"))
-    cut = rows.select("row", "key", _with_holes(F.col("text"), model, hot).alias("packed"))
-    met = cut.join(parts.select("key", F.col("parts.ids").alias("parts")), "key", "left")
+    frequent = frequent_chunks(docs.select(text.alias("text")), model, max_hot, sample)
+    table = docs.sparkSession.sparkContext.broadcast(frequent)
     ends = [cutter(model).end] if end else []
-    whole = _filled(F.col("packed"), F.col("parts"), ends)
-    return met.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(kept)], whole.alias("ids"))
+    return docs.select(*[F.col(f"`{c}`") for c in kept], _encoded(text, model, table, ends).alias("ids"))
 
 
 def decode(ids: Column, model: str) -> Column:
@@ -253,3 +217,18 @@ def decode(ids: Column, model: str) -> Column:
         return pd.Series([None if a is None else text_of(a.tolist()) for a in arrays], dtype=object)
 
     return decoded.asNondeterministic()(ids)
+
+
+def digests(ids: Column, model: str) -> Column:
+    """SHA-256 in hexadecimal digits of the decimal ids, one space apart, and of the decoded text."""
+
+    @F.pandas_udf("ids_sha256 string, decoded_sha256 string")
+    def digested(arrays: pd.Series) -> pd.DataFrame:
+        text_of, rows = cutter(model).text, []
+        for array in arrays:
+            plain = array.tolist()
+            decimal = " ".join(map(str, plain)).encode()
+            rows.append((sha256(decimal).hexdigest(), sha256(text_of(plain).encode()).hexdigest()))
+        return pd.DataFrame(rows, columns=["ids_sha256", "decoded_sha256"])
+
+    return digested.asNondeterministic()(ids)

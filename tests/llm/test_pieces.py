@@ -38,12 +38,13 @@ def test_chunks_give_the_ids_of_the_whole_text(model):
         assert [i for ids in cutter.ids(chunks) for i in ids] == model.encode(text), text
 
 
-@pytest.mark.parametrize("max_hot", [0, 40, pieces.MAX_HOT])
-def test_ids_and_texts_equal_the_library(llm_spark, model, max_hot):
+@pytest.mark.parametrize(("max_hot", "sample"), [(0, 10), (40, pieces.SAMPLE), (pieces.MAX_HOT, 60), (pieces.MAX_HOT, pieces.SAMPLE)])
+def test_ids_and_texts_equal_the_library(llm_spark, model, max_hot, sample):
     texts = ODD + random_texts(300) + ["long " * 20_000, "x" * 30_000, "a b " * 5000 + "\n" * 200]
     rows = [(k, t) for k, t in enumerate(texts)] + [(0, None), (None, "a b"), (None, None), (5, "a \nb"), (5, "a \nb")]
+    rows += [(k, "copied text with q" + "z" * 90 + " in it") for k in range(50)]
     docs = llm_spark.createDataFrame(rows, SCHEMA)
-    out = pieces.encode(docs, queries.PIECES, max_hot=max_hot).withColumn("back", pieces.decode(F.col("ids"), queries.PIECES))
+    out = pieces.encode(docs, queries.PIECES, max_hot=max_hot, sample=sample).withColumn("back", pieces.decode(F.col("ids"), queries.PIECES))
     want = []
     for d, t in rows:
         ids = model.encode(t or "", add_eos=True)
@@ -53,7 +54,7 @@ def test_ids_and_texts_equal_the_library(llm_spark, model, max_hot):
 
 def test_other_columns_and_empty_tables(llm_spark, model):
     docs = llm_spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA)
-    clashing = ["row", "key", "chunk", "n", "k", "packed", "parts", "none", "c0", "ids"]
+    clashing = ["row", "key", "chunk", "n", "k", "text_", "level", "ids"]
     wide = docs.selectExpr("*", *[f"7 AS {c}" for c in clashing])
     out = pieces.encode(wide, queries.PIECES, end=False)
     assert out.columns == ["doc_id", *clashing[:-1], "ids"]
