@@ -131,8 +131,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sentence_pieces")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
-    digests = pieces.digests(F.col("ids"), PIECES)
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digests.alias("d")).select("doc_id", "n_tokens", "d.*")
+    return encoded.select("doc_id", pieces.digests(F.col("ids"), PIECES).alias("d")).select("doc_id", "d.*")
 
 
 #: CRC-32 is spelled out byte by byte from its table of remainders, once per distinct word.
