@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.grams import containment_candidates
 from shelfspark.functions.text import WS, _col, fold, fold_text, trim_ws
-from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts, numbered
+from shelfspark.operators.skew import first_per_key, groups_within, nest_in_parts, numbered, with_matches
 
 # Contact scores.
 EXACT_NAME, PARTIAL_NAME, ROLE_SCORE, DEPARTMENT_SCORE = 100, 10, 5, 5
-ORD_BUCKET = 1_000_000
 
 # Event categories and places with their codes.
 CATEGORY_CODES = {
@@ -170,7 +169,8 @@ def nest_schedule(rows: DataFrame, part_size: int = 1000) -> DataFrame:
     Days keep first-seen order and slots theirs; rows without a slot add nothing. A branch with more
     than ``part_size`` slots continues in further rows (``part``), and a day with more in further
     elements: ``day_ord`` is the day's place in the branch and ``first_slot`` that of the element's
-    first slot in the day, so :func:`unnest_schedule` gives the same rows at every size.
+    first slot in the day, so :func:`unnest_schedule` gives the same rows at every size. A null branch is a
+    branch, and a null day a day.
     """
     filled = rows.filter(F.col("slot").isNotNull() & (F.col("slot") != ""))
     if groups_within(filled, ["branch"], part_size):
@@ -178,21 +178,18 @@ def nest_schedule(rows: DataFrame, part_size: int = 1000) -> DataFrame:
         days = F.array_distinct(F.transform("_seen", lambda s: s["day"]))
 
         def hours_of(day: Column) -> Column:
-            return F.transform(F.filter("_seen", lambda s: s["day"] == day), lambda s: s["slot"])
+            return F.transform(F.filter("_seen", lambda s: s["day"].eqNullSafe(day)), lambda s: s["slot"])
 
         placed = F.transform(days, lambda d, i: _day(d, hours_of(d), i, F.lit(0)))
         return seen.select("branch", F.lit(0).cast("bigint").alias("part"), placed.alias("schedule"))
-    bucket = F.floor(F.col("ord") / ORD_BUCKET)
-    slots = nest_in_parts(filled, ["branch", "day"], ["ord", "slot"], bucket, F.struct("slot", "ord"), "_slots", part_size)
+    slots = nest_in_parts(filled, ["branch", "day"], ["ord", "slot"], F.struct("slot", "ord"), "_slots", part_size)
     opened = slots.filter("part = 0").select("branch", "day", F.col("_slots")[0]["ord"].alias("ord"))
-    days = numbered(opened, ["branch"], ["ord", "day"], bucket, "_n").select("branch", "day", (F.col("_n") - 1).alias("_day"))
+    days = numbered(opened, ["branch"], ["ord", "day"], "_n").select("branch", "day", (F.col("_n") - 1).alias("_day"))
     hours = F.transform("_slots", lambda s: s["slot"])
-    elements = slots.join(days, ["branch", "day"]).select(
+    elements = with_matches(slots, days, ["branch", "day"], "inner").select(
         "branch", "_day", F.col("part").alias("_piece"), _day(F.col("day"), hours, F.col("_day"), F.col("part") * part_size).alias("_item")
     )
-    return nest_in_parts(
-        elements, ["branch"], ["_day", "_piece"], F.floor(F.col("_day") / part_size), F.col("_item"), "schedule", part_size
-    )
+    return nest_in_parts(elements, ["branch"], ["_day", "_piece"], F.col("_item"), "schedule", part_size)
 
 
 def _day(day: Column, hours: Column, place: Column, first_slot: Column) -> Column:
@@ -208,33 +205,17 @@ def unnest_schedule(df: DataFrame) -> DataFrame:
     return slots.select("branch", "day_ord", "day", (F.col("_d.first_slot") + F.col("_p")).alias("slot_ord"), "slot")
 
 
-def _whole_schedules(hours: DataFrame) -> DataFrame:
-    """``hours`` with the parts of each schedule joined: one row per branch."""
-    others = [c for c in hours.columns if c not in ("hours_branch", "part", "schedule")]
-    days = hours.select("hours_branch", F.explode("schedule").alias("_d"))
-    pieces = F.sort_array(F.collect_list(F.struct("_d.first_slot", "_d.hours")))
-    whole = days.groupBy("hours_branch", F.col("_d.day_ord").alias("_o"), F.col("_d.day").alias("_day")).agg(
-        F.flatten(F.transform(pieces, lambda p: p["hours"])).alias("_hours")
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("_o", "_day", "_hours")))
-    schedules = whole.groupBy("hours_branch").agg(
-        F.transform(ordered, lambda d: _day(d["_day"], d["_hours"], d["_o"], F.lit(0))).alias("schedule")
-    )
-    return hours.filter("part = 0").select("hours_branch", *others).join(schedules, "hours_branch")
-
-
 def branch_profile(branches: DataFrame, hours: DataFrame, details: DataFrame) -> DataFrame:
     """Branches with their schedule, a contact struct and services.
 
     ``branches``: branch, ord, phones, email, address, transport, detail_url. ``hours``:
     hours_branch, hours_ord, schedule, hours_url. ``details``: branch, librarian, address,
-    transport, services; its address and transport only fill gaps. Schedules that come in parts are
-    joined, so every branch has one row.
+    transport, services; its address and transport only fill gaps. Hours that come in parts (``part``, see
+    :func:`nest_schedule`) stay in parts: a branch then has one row for each, with the same facts.
     """
-    if "part" in hours.columns:
-        hours = _whole_schedules(hours)
-    matched = match_hours(branches, hours.select("hours_branch", "hours_ord"))
-    timed = matched.join(hours.select("hours_branch", "schedule", "hours_url"), "hours_branch", "left")
+    parts = ["part"] if "part" in hours.columns else []
+    matched = match_hours(branches, hours.select("hours_branch", "hours_ord").distinct())
+    timed = matched.join(hours.select("hours_branch", *parts, "schedule", "hours_url"), "hours_branch", "left")
     extra = details.select(
         "branch", "librarian", "services",
         F.col("address").alias("_address"), F.col("transport").alias("_transport"),
@@ -247,7 +228,7 @@ def branch_profile(branches: DataFrame, hours: DataFrame, details: DataFrame) ->
     empty = F.array().cast(hours.schema["schedule"].dataType)
     phones = F.when(F.size("phones") > 0, F.col("phones")).alias("phones")
     return full.select(
-        "branch", "ord",
+        "branch", "ord", *[F.coalesce(p, F.lit(0).cast("bigint")).alias(p) for p in parts],
         F.coalesce("schedule", empty).alias("schedule"),
         "hours_url",
         F.struct(phones, "email", gap("address"), gap("transport"), "librarian").alias("contact"),

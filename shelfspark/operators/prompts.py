@@ -17,11 +17,6 @@ MAX_PROMPTS_PER_CONVERSATION = 10
 MAX_HISTORY_MESSAGES = 50
 RECENT_TURNS = 5
 VALID_ROLES = ("system", "user", "assistant", "tool")
-ID_BUCKET = 1_000_000
-
-
-def _id_bucket(name: str) -> Column:
-    return F.floor(F.col(name) / ID_BUCKET)
 
 
 def date_range(df: DataFrame, ts: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -92,7 +87,7 @@ def nest_conversations(
         prompts = prompts.filter(F.col("conversation_id") == conversation_id)
     item = F.struct("prompt_id", "prompt_text", "answer_text", "user_feedback", "created_at")
     nested = nest_in_parts(
-        prompts, ["conversation_id"], ["prompt_id"], _id_bucket("prompt_id"), item, "prompts", part_size
+        prompts, ["conversation_id"], ["prompt_id"], item, "prompts", part_size
     )
     joined = conversations.join(nested, "conversation_id", "left")
     empty = F.array().cast(nested.schema["prompts"].dataType)
@@ -108,7 +103,7 @@ def _nth_targets(prompts: DataFrame, updates: DataFrame) -> tuple[DataFrame, Dat
     touched = prompts.select("conversation_id", "prompt_id").join(
         updates.select("conversation_id").distinct(), "conversation_id", "left_semi"
     )
-    positions = numbered(touched, ["conversation_id"], ["prompt_id"], _id_bucket("prompt_id"), "_pos").select(
+    positions = numbered(touched, ["conversation_id"], ["prompt_id"], "_pos").select(
         "conversation_id", "prompt_id", (F.col("_pos") - 1).alias("nth")
     )
     return last, positions
@@ -166,13 +161,13 @@ def append_prompts(prompts: DataFrame, batch: DataFrame, cap: int = MAX_PROMPTS_
     top_prompt = old_ids.select("p").scalar()
     top_conversation = F.greatest(old_ids.select("c").scalar(), batch_top)
 
-    fresh = numbered(batch.filter(F.col("conversation_id").isNull()), [], ["ord"], _id_bucket("ord"), "_n")
+    fresh = numbered(batch.filter(F.col("conversation_id").isNull()), [], ["ord"], "_n")
     fresh = fresh.select("ord", (top_conversation + F.col("_n")).alias("conversation_id"), "prompt_text", "answer_text")
     known = batch.filter(F.col("conversation_id").isNotNull())
     first = top_per_key(known, ["conversation_id"], ["ord"], cap, "_rank").join(filled, "conversation_id", "left")
     fitting = first.filter(F.coalesce("_filled", F.lit(0)) + F.col("_rank") <= cap)
     accepted = fitting.select("ord", "conversation_id", "prompt_text", "answer_text").unionByName(fresh)
-    accepted = numbered(accepted, [], ["ord"], _id_bucket("ord"), "_n").select(
+    accepted = numbered(accepted, [], ["ord"], "_n").select(
         "ord",
         (top_prompt + F.col("_n")).alias("prompt_id"),
         F.col("conversation_id").alias("_conversation"),
@@ -215,10 +210,10 @@ def trim_messages(
 ) -> DataFrame:
     """The system rows and the last ``max_messages`` (or ``last_n``) other rows per conversation.
 
-    ``messages``: conversation_id, turn, role, content.
+    ``messages``: conversation_id, turn, role, content. A null role is no system role, a null conversation is one.
     """
     system = messages.filter(F.col("role") == "system")
-    rest = messages.filter(F.col("role") != "system")
+    rest = messages.filter(~F.col("role").eqNullSafe("system"))
     limit = max_messages if last_n is None else min(last_n, max_messages)
     return system.unionByName(top_per_key(rest, ["conversation_id"], [F.desc("turn")], limit))
 
@@ -244,22 +239,21 @@ def transcript(prompts: DataFrame, system_prompt: str) -> DataFrame:
     return heads.unionByName(turns)
 
 
-def validate_messages(messages: DataFrame, turns_per_bucket: int = 1000) -> DataFrame:
+def validate_messages(messages: DataFrame) -> DataFrame:
     """Flag rows a model API would refuse; legacy 'function' rows are dropped first.
 
-    ``messages``: conversation_id, turn, role, has_tool_calls.
+    ``messages``: conversation_id, turn, role, has_tool_calls. A null role is an unknown one, no call flag means no
+    call, and a null conversation is a conversation.
     """
-    kept = messages.filter(F.col("role") != "function")
-    speaker = F.when(F.col("role") != "tool", F.struct("role", "has_tool_calls"))
-    seen = carry_forward(
-        kept, ["conversation_id"], ["turn"], speaker, F.floor(F.col("turn") / turns_per_bucket), "_speaker"
-    )
+    kept = messages.filter(~F.col("role").eqNullSafe("function"))
+    speaker = F.when(~F.col("role").eqNullSafe("tool"), F.struct("role", "has_tool_calls"))
+    seen = carry_forward(kept, ["conversation_id"], ["turn"], speaker, "_speaker")
     tool = F.col("role") == "tool"
     problem = (
-        F.when(~F.col("role").isin(*VALID_ROLES), "unknown_role")
+        F.when(F.col("role").isNull() | ~F.col("role").isin(*VALID_ROLES), "unknown_role")
         .when(tool & F.col("_speaker").isNull(), "tool_first")
-        .when(tool & (F.col("_speaker.role") != "assistant"), "tool_after_other_role")
-        .when(tool & ~F.col("_speaker.has_tool_calls"), "tool_without_call")
+        .when(tool & ~F.col("_speaker.role").eqNullSafe("assistant"), "tool_after_other_role")
+        .when(tool & ~F.coalesce("_speaker.has_tool_calls", F.lit(False)), "tool_without_call")
     )
     return seen.withColumn("problem", problem).withColumn("valid", F.col("problem").isNull()).drop("_speaker")
 

@@ -20,6 +20,7 @@ from shelfspark.functions.text import (
     strip_author_role,
     trim_ws,
 )
+from shelfspark.operators.postings import PostingIndex
 from shelfspark.operators.skew import first_per_key, nest_in_parts, top_per_key
 
 DEFAULT_COUNT = 5
@@ -87,19 +88,36 @@ def _matches_literal(books: DataFrame, specs: list[tuple]) -> DataFrame:
     return texts.select(*books.columns, F.inline(F.array_compact(F.array(*hits))))
 
 
-def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """Matches of any number of queries: candidates share the rarest piece of the query, then verify."""
+def catalog_texts(books: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``(id, field, text)`` rows of the searchable texts, folded: what a posting index of the catalogue holds."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("text")) for f in fields])
+    return books.select(F.col("id").cast("string").alias("id"), F.inline(rows))
+
+
+def _matches_joined(books: DataFrame, specs: DataFrame, fields: tuple[str, ...], index: PostingIndex | None) -> DataFrame:
+    """Matches of any number of queries: candidates share the rarest piece of the query, then verify.
+
+    Only ids travel up to there; the book columns join once. Without a stored index the pieces of the
+    texts are taken on the way.
+    """
     words = F.filter(F.split(fold("query"), r"\s+"), lambda w: w != "")
     asked = specs.select("query_id", "tier", "field", words.alias("_words"), fold("query").alias("_whole")).filter(
         F.size("_words") > 0
     )
-    texts = F.array(*[F.struct(F.lit(f).alias("field"), _field_text(f).alias("_text")) for f in fields])
-    pairs = containment_candidates(
-        books.select("*", F.inline(texts)), "_text", asked, "_words", ["query_id", "tier", "field"], ["field"]
-    )
+    keys = ["query_id", "tier", "field"]
+    if index is not None:
+        pairs = index.candidates(asked, "_words", keys)
+    else:
+        texts = catalog_texts(books, fields)
+        pairs = containment_candidates(texts, "text", asked, "_words", keys, ["field"]).select(*keys, "id").distinct()
+    found = asked.join(pairs.withColumnRenamed("id", "_id"), keys)
+    text = F.lit(None).cast("string")
+    for field in fields:
+        text = F.when(F.col("field") == field, _field_text(field)).otherwise(text)
+    near = books.join(found, F.col("id").cast("string").eqNullSafe(F.col("_id"))).withColumn("_text", text)
     contained = F.forall("_words", lambda w: F.col("_text").contains(w))
     verified = F.when(F.col("field") == "DATE1", F.col("_text") == F.col("_whole")).otherwise(contained)
-    return pairs.filter(verified).select(*books.columns, "query_id", "tier")
+    return near.filter(verified).select(*[books[c] for c in books.columns], "query_id", "tier")
 
 
 def _limited(matches: DataFrame, limit: int) -> DataFrame:
@@ -111,30 +129,31 @@ def _limited(matches: DataFrame, limit: int) -> DataFrame:
 
 
 def catalog_search(
-    books: DataFrame, queries: list[tuple] | DataFrame, field: str = "G", limit: int = DEFAULT_COUNT
+    books: DataFrame, queries: list[tuple] | DataFrame, field: str = "G", limit: int = DEFAULT_COUNT, index: PostingIndex | None = None
 ) -> DataFrame:
     """Books whose folded field contains every word of the folded query, in catalogue order.
 
     ``queries``: a parameter list of (query_id, text), or a table (query_id, query) of any size.
-    ``limit`` 0 returns all matches.
+    ``limit`` 0 returns all matches. ``index``, for a table of queries: a posting index of
+    :func:`catalog_texts` of the same books; then only the texts of candidates are read.
     """
     if field not in FIELDS:
         raise ValueError(f"unknown field {field}; use one of {FIELDS}")
     if isinstance(queries, DataFrame):
         specs = queries.select("query_id", F.lit(0).alias("tier"), F.lit(field).alias("field"), "query")
-        matches = _matches_joined(books, specs, (field,))
+        matches = _matches_joined(books, specs, (field,), index)
     else:
         matches = _matches_literal(books, [(qid, 0, field, text) for qid, text in queries])
     return _limited(matches, limit).drop("tier")
 
 
 def catalog_search_cascade(
-    books: DataFrame, queries: list[tuple] | DataFrame, limit: int = DEFAULT_COUNT
+    books: DataFrame, queries: list[tuple] | DataFrame, limit: int = DEFAULT_COUNT, index: PostingIndex | None = None
 ) -> DataFrame:
     """Search by kind (author, title, general, subject) with fallback to the next index when empty.
 
     ``queries``: (query_id, kind, text) rows. The first tier with a match wins; which one that
-    is gets decided inside the plan from one small aggregate per query.
+    is gets decided inside the plan from one small aggregate per query. ``index`` as in :func:`catalog_search`.
     """
     if isinstance(queries, DataFrame):
         variants = {
@@ -151,7 +170,7 @@ def catalog_search_cascade(
             )
             rows = F.when(F.col("kind") == kind, steps).otherwise(rows)
         specs = queries.select("query_id", F.inline(rows))
-        matches = _matches_joined(books, specs, ("TITLE", "AU", "SUBJECT", "G"))
+        matches = _matches_joined(books, specs, ("TITLE", "AU", "SUBJECT", "G"), index)
         asked = queries.filter(F.col("kind") == "author").select("query_id", F.col("query").alias("_asked"))
         ranked = _winning_tier(matches, limit).join(asked, "query_id", "left")
         return _verified_authors(ranked, F.col("_asked")).drop("_asked")
@@ -303,7 +322,7 @@ def result_listing(df: DataFrame, part_size: int = 1000) -> DataFrame:
     """
     lines = result_lines(df)
     parts = nest_in_parts(
-        lines, ["query_id", "compact", "n_books"], ["ord"], F.floor(F.col("ord") / 1_000_000), F.col("line"), "_lines", part_size
+        lines, ["query_id", "compact", "n_books"], ["ord"], F.col("line"), "_lines", part_size
     )
     joined = F.when(F.col("compact"), F.array_join("_lines", "\n")).otherwise(F.array_join("_lines", "\n\n"))
     return parts.select("query_id", "part", "compact", "n_books", joined.alias("listing"))

@@ -17,6 +17,8 @@ from shelfspark.session import cut_lineage
 
 MAX_LOOKUP_ROWS = 1000
 MAX_GROUP_ROWS = 1_000_000
+BUCKET_ROWS = 200_000
+MAX_CUTS = 256
 #: A partition's rows take this many low bits of ``monotonically_increasing_id``.
 PARTITION_BITS = 33
 
@@ -37,23 +39,46 @@ def top_per_key(df: DataFrame, keys: list, order: list, n: int, rank_name: str |
     return kept if rank_name else kept.drop(name)
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def with_matches(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` joined with the other columns of ``right`` on ``keys``, where null equals null."""
+    named = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return left.join(named, on, how).drop(*[f"_of_{k}" for k in keys])
+
+
+def in_order_buckets(df: DataFrame, keys: list[str], order: list[str], rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_bucket``, which cuts the keys above ``rows`` rows into stretches of their own order.
+
+    The cut points are measured: the places of a sample of a key's rows that is drawn by hash, one in ``rows`` or one in a
+    ``MAX_CUTS``-th of the key, whichever is more. So the stretches hold about equally many rows whether the values of
+    ``order`` are small, dense, sparse or far apart, and cutting again gives the same cuts. Only rows equal in all of
+    ``order`` are never parted.
+    """
+    place = F.struct(*order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
+    step = F.greatest(F.lit(rows), F.ceil(F.col("_rows") / MAX_CUTS))
+    hot = with_matches(df.select(*dict.fromkeys([*keys, *order])), sizes, keys, "inner")
+    drawn = hot.filter(F.pmod(F.xxhash64(*keys, *order), step) == 0)
+    cuts = drawn.groupBy(*keys).agg(F.sort_array(F.collect_set(place)).alias("_cuts"))
+    before = F.size(F.filter("_cuts", lambda c: c <= place))
+    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(before)
+    return with_matches(df, cuts, keys).select(*df.columns, bucket.alias("_bucket"))
 
 
 def numbered(
-    df: DataFrame, keys: list[str], order: list, bucket: Column, name: str, max_group: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], name: str, max_group: int = MAX_GROUP_ROWS, rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """1-based position of each row within its key.
+    """1-based position of each row within its key; without keys, within the whole table.
 
-    Where every key is of checked moderate size this is a plain window. Beyond, ``bucket`` cuts
-    keys: it must be non-decreasing in ``order`` (a range of ids, a day) and bounds what one task
-    sorts; only (key, bucket, count) rows meet per key.
+    Where every key is of checked moderate size this is a plain window. Beyond, keys are cut as in
+    :func:`in_order_buckets`, so one task sorts a stretch of bounded size; only (key, bucket, count) rows meet per key.
     """
+    if not keys:
+        return globally_numbered(df, order, name)
     if groups_within(df, keys, max_group):
         plain = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn(name, plain.cast("bigint"))
-    cut = df.withColumn("_bucket", bucket)
+    cut = in_order_buckets(df, keys, order, rows)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         cut.groupBy(*keys, "_bucket")
@@ -62,11 +87,8 @@ def numbered(
         .drop("_n")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    local = cut.withColumn("_local", F.row_number().over(inside))
-    joined = local.join(offsets, _same(local, offsets, [*keys, "_bucket"]))
-    return joined.select(
-        *[local[c] for c in df.columns], (F.col("_local") + F.col("_offset")).cast("bigint").alias(name)
-    )
+    joined = with_matches(cut.withColumn("_local", F.row_number().over(inside)), offsets, [*keys, "_bucket"])
+    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).cast("bigint").alias(name))
 
 
 def globally_numbered(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -94,40 +116,35 @@ def globally_numbered(df: DataFrame, order: list, name: str) -> DataFrame:
 def carry_forward(
     df: DataFrame,
     keys: list[str],
-    order: list,
+    order: list[str],
     value: Column,
-    bucket: Column,
     name: str,
     max_group: int = MAX_GROUP_ROWS,
+    rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """Latest non-null ``value`` strictly before each row of the same key; ``bucket`` as in :func:`numbered`."""
+    """Latest non-null ``value`` strictly before each row of the same key; large keys are cut as in :func:`numbered`."""
     if groups_within(df, keys, max_group):
         before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(name, F.last(value, ignorenulls=True).over(before))
-    cut = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    cut = in_order_buckets(df.withColumn("_value", value), keys, order, rows)
     carried = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    seen = (
-        cut.filter(F.col("_value").isNotNull())
-        .groupBy(*keys, "_bucket")
-        .agg(F.max_by("_value", F.struct(*order)).alias("_last"))
-    )
-    buckets = cut.select(*keys, "_bucket").distinct()
+    place = F.when(F.col("_value").isNotNull(), F.struct(*order))
     heads = (
-        buckets.join(seen, [*keys, "_bucket"], "left")
+        cut.groupBy(*keys, "_bucket")
+        .agg(F.max_by("_value", place).alias("_last"))
         .withColumn("_head", F.last("_last", ignorenulls=True).over(carried))
         .drop("_last")
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-    joined = local.join(heads, [*keys, "_bucket"], "left")
-    return joined.select(*[local[c] for c in df.columns], F.coalesce("_local", "_head").alias(name))
+    joined = with_matches(local, heads, [*keys, "_bucket"])
+    return joined.select(*df.columns, F.coalesce("_local", "_head").alias(name))
 
 
 def nest_in_parts(
     df: DataFrame,
     keys: list[str],
-    order: list,
-    bucket: Column,
+    order: list[str],
     item: Column,
     items_name: str,
     part_size: int = 1000,
@@ -143,7 +160,7 @@ def nest_in_parts(
         return whole.select(
             *keys, F.lit(0).cast("bigint").alias("part"), F.transform("_items", lambda x: x["item"]).alias(items_name)
         )
-    positions = numbered(df, keys, order, bucket, "_pos").withColumn(
+    positions = numbered(df, keys, order, "_pos").withColumn(
         "part", F.floor((F.col("_pos") - 1) / part_size).cast("bigint")
     )
     return (

@@ -7,24 +7,31 @@ large for one block are spread over a grid of item parts and query blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.functions.codes import Codebook
 from shelfspark.functions.text import WS, WS_CHARS, contains_any, fold, trim_ws
 from shelfspark.operators.search import DEFAULT_COUNT, catalog_search
 from shelfspark.operators.skew import bounded_rows, first_per_key, top_per_key
 from shelfspark.session import cut_lineage
 
 MAX_QUERY_BLOCK = 1000
-ITEMS_PER_PART = 50_000
-QUERIES_PER_BLOCK = 10_000
+PART_BYTES = 1 << 26
+BLOCK_BYTES = 1 << 24
+QUERIES_PER_BLOCK = 2_000
 QUERY_SLAB = 128
+CODES_PER_PART = 200_000
+CODEBOOK_SAMPLE = 16_384
+SAMPLE_BYTES = 1 << 26
+SLAB_BYTES = 1 << 25
 DISTANCE_DIGITS = 9
 OVERFETCH = 5
 DEDUP_CHARS = 100
@@ -139,13 +146,14 @@ def _scan(items: DataFrame, rows: list, k: int, metric: str, schema: T.StructTyp
 
 
 def _grid(items: DataFrame, queries: DataFrame, k: int, metric: str, schema: T.StructType) -> DataFrame:
-    """Top k per query within each bucket, for any number of items and queries per bucket.
+    """Top k per query within each vector size, for any number of items and queries.
 
-    Inputs carry a ``bucket``. A bucket is cut into item parts and query blocks of bounded size by
-    its measured counts; items repeat once per block and queries once per part.
+    Inputs carry their size as ``bucket``. A bucket is cut into item parts and query blocks of bounded
+    bytes by its measured counts; items repeat once per block and queries once per part.
     """
-    parts = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / ITEMS_PER_PART).cast("int").alias("_parts"))
-    blocks = queries.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("_blocks"))
+    bytes_held = F.count(F.lit(1)) * F.first("bucket") * 8
+    parts = items.groupBy("bucket").agg(F.ceil(bytes_held / PART_BYTES).cast("int").alias("_parts"))
+    blocks = queries.groupBy("bucket").agg(F.ceil(bytes_held / BLOCK_BYTES).cast("int").alias("_blocks"))
     shape = parts.join(blocks, "bucket")
 
     def every(n: str) -> Column:
@@ -203,10 +211,110 @@ def knn(items: DataFrame, queries: DataFrame, k: int = DEFAULT_COUNT, metric: st
     return _top(items, queries, k, metric).withColumn("score", 1.0 - F.col("distance"))
 
 
-def _unit(vector: Column) -> Column:
-    """The vector over its norm; a zero vector stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(vector.cast("array<double>"))
+def _fit_codebook(items: DataFrame, k: int, metric: str, dim: int, sample: int, seed: int) -> Codebook | None:
+    """A codebook from a bounded sample of the vectors of one size; None where there are none."""
+    usable = items.filter(F.size("vector") == dim)
+    n_rows = usable.count()
+    if n_rows == 0:
+        return None
+    most = max(k + 2, min(sample, SAMPLE_BYTES // (8 * dim)))
+    drawn = usable.select("vector") if n_rows <= most else usable.select("vector").sample(most / n_rows, seed=seed)
+    rows = [r["vector"] for r in drawn.limit(2 * most).collect()]
+    return Codebook.fit(_placed(np.array(rows, dtype=np.float64), metric), n_rows, k, seed)
+
+
+def _placed(vectors: np.ndarray, metric: str) -> np.ndarray:
+    """Unit vectors for cosine, whose squared distances order as the cosine does; a zero vector stays."""
+    if metric != "cosine":
+        return vectors
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms > 0, norms, 1.0)
+
+
+def _coded(items: DataFrame, book: Broadcast, metric: str, dim: int) -> DataFrame:
+    """``(cell, id, code)`` of every item, a byte per segment in place of the vector."""
+
+    @F.pandas_udf("cell int, code binary")
+    def code(vectors: pd.Series) -> pd.DataFrame:
+        cells, codes = [], []
+        for i in range(0, len(vectors), QUERY_SLAB):
+            block = _placed(np.stack(vectors.iloc[i : i + QUERY_SLAB].to_numpy()).astype(np.float64), metric)
+            own, some = book.value.encode(block)
+            cells += own.tolist()
+            codes += [row.tobytes() for row in some]
+        return pd.DataFrame({"cell": cells, "code": pd.Series(codes, dtype=object)})
+
+    rows = items.filter(F.size("vector") == dim)
+    return rows.select("id", code.asNondeterministic()("vector").alias("c")).select("c.cell", "id", "c.code")
+
+
+def _probing(queries: DataFrame, book: Broadcast, metric: str, dim: int) -> DataFrame:
+    """``(cell, query_id, vector)``: a query for each cell it looks into."""
+
+    @F.pandas_udf("array<int>")
+    def probe(vectors: pd.Series) -> pd.Series:
+        block = _placed(np.stack(vectors.to_numpy()).astype(np.float64), metric)
+        return pd.Series(list(book.value.cells_to_probe(block).astype(np.int32)), dtype=object)
+
+    rows = queries.filter(F.size("vector") == dim)
+    return rows.select(F.explode(probe.asNondeterministic()("vector")).alias("cell"), "query_id", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _candidates(coded: DataFrame, probing: DataFrame, book: Broadcast, metric: str, schema: T.StructType) -> DataFrame:
+    """The nearest codes of each query in each cell it looks into: at most ``refine`` a query and part of a cell.
+
+    A cell is cut into parts of bounded size by its measured count, so a cell full of copies is shared by many tasks.
+    """
+    parts = coded.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CODES_PER_PART).cast("int").alias("_parts"))
+    blocks = probing.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_BLOCK).cast("int").alias("_blocks"))
+    shape = parts.join(blocks, "cell")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def spot(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    left = coded.join(shape, "cell").select("cell", spot("id", "_parts").alias("part"), every("_blocks").alias("block"), "id", "code")
+    right = probing.join(shape, "cell").select(
+        "cell", every("_parts").alias("part"), spot("query_id", "_blocks").alias("block"), "query_id", "vector"
+    )
+
+    def near_codes(codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if codes.empty or asked.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": []})
+        fitted, ids = book.value, codes["id"].to_numpy()
+        own, packed = codes["cell"].to_numpy(), np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
+        matrix = _placed(np.stack(asked["vector"].to_numpy()).astype(np.float64), metric)
+        asked_ids, found = asked["query_id"].to_numpy(), []
+        slab = max(1, SLAB_BYTES // (8 * matrix.shape[1]))
+        for i in range(0, len(ids), slab):
+            vectors = fitted.decode(own[i : i + slab], packed[i : i + slab])
+            for q, some, far in _best(ids[i : i + slab], vectors, matrix, fitted.refine, "l2"):
+                found.append(pd.DataFrame({"query_id": asked_ids[q], "id": some, "distance": far}))
+        return pd.concat(found)
+
+    keys = ["cell", "part", "block"]
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(near_codes, schema)
+    return top_per_key(near, ["query_id"], ["distance", "id"], book.value.refine)
+
+
+def _exact_distance(metric: str) -> Callable[[str, str], Column]:
+    @F.pandas_udf("double")
+    def far(items: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(items), QUERY_SLAB):
+            a = np.stack(items.iloc[i : i + QUERY_SLAB].to_numpy()).astype(np.float64)
+            b = np.stack(asked.iloc[i : i + QUERY_SLAB].to_numpy()).astype(np.float64)
+            dots = np.einsum("ij,ij->i", a, b)
+            if metric == "cosine":
+                norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
+                out.append(np.where(norms > 0, 1.0 - dots / np.where(norms > 0, norms, 1.0), 1.0))
+            else:
+                out.append((a**2).sum(axis=1) - 2.0 * dots + (b**2).sum(axis=1))
+        return pd.Series(np.round(np.concatenate(out), DISTANCE_DIGITS) + 0.0)
+
+    return far
 
 
 def knn_approx(
@@ -214,54 +322,40 @@ def knn_approx(
     queries: DataFrame,
     k: int = DEFAULT_COUNT,
     metric: str = "cosine",
-    tables: int = 12,
-    width: float = 4.0,
-    projections: int = 3,
+    sample: int = CODEBOOK_SAMPLE,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate k nearest: random-projection buckets propose candidates, exact distances rank them.
+    """Approximate k nearest: compressed codes propose candidates, exact distances rank them.
 
-    A bucket is a cell of ``projections`` random directions, each cut into steps of ``width`` times the
-    spread that the items' vectors have along a direction on average, whatever their scale. For
-    cosine the buckets are those of the unit vectors. Buckets are cut by their measured size, so a
-    bucket full of copies is shared by many tasks. Queries whose buckets hold fewer than k
-    candidates are searched exactly.
+    Coarse cells and codes of what a cell leaves over are fitted on at most about ``sample`` vectors; every item gets
+    a code. A query looks into as many cells, and keeps as many candidates, as reach 98 % of the neighbours that the
+    sample's own vectors have in it, so the recall holds for clustered and for evenly spread vectors. Only ids and
+    codes are dealt over cells; the full vectors join once, for the candidates. Queries whose cells hold fewer than k
+    items are searched exactly.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     items, queries = _usable(items, "vector"), _usable(queries, "vector")
     schema = _result_type(items, queries)
-
-    def placed(df: DataFrame) -> DataFrame:
-        plain = _unit(F.col("vector")) if metric == "cosine" else F.col("vector").cast("array<double>")
-        return df.withColumn("features", plain)
-
-    square = F.aggregate("features", F.lit(0.0), lambda a, x: a + x * x)
-    spread = placed(items).agg(F.sqrt(F.avg(square / F.size("features")))).first()[0]
-    if not spread:
+    sizes = [r[0] for r in queries.select(F.size("vector").alias("n")).distinct().collect()]
+    near = None
+    for dim in sorted(sizes):
+        fitted = _fit_codebook(items, k, metric, dim, sample, seed)
+        if fitted is None:
+            continue
+        book = items.sparkSession.sparkContext.broadcast(fitted)
+        some = _candidates(_coded(items, book, metric, dim), _probing(queries, book, metric, dim), book, metric, schema)
+        near = some if near is None else near.unionByName(some)
+    if near is None:
         return knn(items, queries, k, metric)
-
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        dense = placed(df).select(key, "vector", array_to_vector("features").alias("features"))
-        cells = F.transform("hashes", lambda h: vector_to_array(h)[0].cast("bigint"))
-        rows = model.transform(dense).select(key, "vector", cells.alias("cells"))
-        table = F.sequence(F.lit(0), F.lit(tables - 1))
-        bucket = F.transform(
-            table, lambda t: F.concat_ws(":", t, F.transform(F.slice("cells", t * projections + 1, projections), lambda c: c.cast("string")))
-        )
-        return rows.select(F.explode(bucket).alias("bucket"), key, "vector")
-
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=width * spread, numHashTables=tables * projections, seed=seed
-    )
-    model = lsh.fit(placed(items).select(array_to_vector("features").alias("features")))
-    local = _grid(hashed(items, "id"), hashed(queries, "query_id"), k, metric, schema)
-    unique = local.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
-    found = cut_lineage(top_per_key(unique, ["query_id"], ["distance", "id"], k, "rank"))
+    vectors = items.select("id", F.col("vector").alias("_item"))
+    asked = queries.select("query_id", F.col("vector").alias("_asked"))
+    both = near.select("query_id", "id").distinct().join(vectors, "id").join(asked, "query_id")
+    exact_far = both.select("query_id", "id", _exact_distance(metric)("_item", "_asked").alias("distance"))
+    ranked = exact_far.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
+    found = cut_lineage(top_per_key(ranked, ["query_id"], ["distance", "id"], k, "rank"))
     full = found.filter(F.col("rank") == k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
-    exact = _top(items, short, k, metric)
+    exact = _top(items, queries.join(full, "query_id", "left_anti"), k, metric)
     return found.join(full, "query_id", "left_semi").unionByName(exact).withColumn("score", 1.0 - F.col("distance"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import WS_LIST, computed_once, contains_any, trim_ws
 from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_links, url_origin
 from shelfspark.operators.skew import first_per_key
-from shelfspark.session import cut_lineage
+from shelfspark.session import scratch_path, write_bucketed
 from shelfspark.sources.html_pages import decode_entities
 
 MIN_CHUNK_CHARS = 800
@@ -19,6 +19,7 @@ MIN_VALID_CHARS = 100
 MAX_PLAIN_ID_CHARS = 100
 MAX_PAGE_TEXT = 4000
 MIN_PAGE_TEXT = 20
+SALTS = 4
 
 # Wording of chunk texts.
 CONTINUED = " (pokračování)"
@@ -58,27 +59,46 @@ def reachable(
     """Breadth-first visit order from the seeds: url and depth; all pages, or the first ``max_pages`` and
     those up to ``max_depth``.
 
-    The edges are computed once. One join per level; every level is checkpointed, so the plan stays
-    short and a lost executor costs one level at most. Within a level pages are taken in url order.
+    The edges are written once, dealt by a hash of page and salt, so a page with very many links lies in ``SALTS``
+    buckets; the pages found are dealt by a hash of the page. A level joins the pages of the level before with the
+    edges where these lie, and looks its pages up among those found where those lie: only the newly met pages
+    are exchanged. What is written survives a lost executor, and the plan stays short. Within a level
+    pages are taken in url order.
     """
-    links = cut_lineage(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct())
-    frontier = cut_lineage(seeds.select("url").distinct())
-    visited = frontier.withColumn("depth", F.lit(0))
-    seen = frontier.count()
-    for depth in itertools.count(1):
-        if (max_pages is not None and seen >= max_pages) or (max_depth is not None and depth > max_depth):
-            break
-        following = links.join(frontier, F.col("src") == F.col("url")).select(F.col("dst").alias("url")).distinct()
-        frontier = cut_lineage(following.join(visited, "url", "left_anti"))
-        found = frontier.count()
-        if found == 0:
-            break
-        seen += found
-        visited = visited.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    ordered = visited.orderBy("depth", "url")
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place, mark = scratch_path(spark, "reach"), uuid.uuid4().hex
+    links, found = f"reach_links_{mark}", f"reach_found_{mark}"
+    salt = F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt")
+    known = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
+    try:
+        write_bucketed(known.select("src", salt, "dst"), links, f"{place}/links", buckets, "src", "salt")
+        depth, seen = 0, 0
+        met = seeds.select("url").distinct()
+        while True:
+            write_bucketed(met.select("url", F.lit(depth).alias("depth")), found, f"{place}/found", buckets, "url")
+            spark.catalog.refreshTable(found)
+            new = spark.table(found).filter(F.col("depth") == depth).count()
+            seen += new
+            if new == 0 or (max_pages is not None and seen >= max_pages) or (max_depth is not None and depth >= max_depth):
+                break
+            met = next_level(spark.table(links), spark.table(found), depth)
+            depth += 1
+    finally:
+        for table in (links, found):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    ordered = spark.read.schema("url string, depth int").parquet(f"{place}/found").orderBy("depth", "url")
     return ordered if max_pages is None else ordered.limit(max_pages)
 
 
+def next_level(links: DataFrame, found: DataFrame, depth: int) -> DataFrame:
+    """``url`` of the pages linked from those of ``depth`` that are not found yet; no exchange of ``links`` or ``found``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    frontier = found.filter(F.col("depth") == depth).select(F.col("url").alias("src"), salts)
+    met = links.join(frontier, ["src", "salt"]).select(F.col("dst").alias("url")).distinct()
+    return met.join(found.select("url"), "url", "left_anti")
+
+
 def _departments(sections: Column) -> Column:
     """Heading of the latest non-empty level-2 section up to each section."""
     def latest(_: Column, i: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.postings import PostingIndex
+from shelfspark.operators.search import catalog_texts
 from shelfspark.plans.registry import table
+from shelfspark.session import path_age, shared_dir
 
 RECORD_FIELDS = [
     "Identifier", "Title", "Author", "Contributors", "Publisher", "PublicationYear", "ISBN", "ISSN", "Subjects",
@@ -190,3 +195,11 @@ def docs_new(spark: SparkSession, sf: str) -> DataFrame:
     d = _docs(spark, sf).filter(F.coalesce("quality", F.lit(1)) == 1)
     revised = F.when(F.col("section_heading") == "de", F.concat("text", F.lit(" (revize)"))).otherwise(F.col("text"))
     return d.withColumn("text", revised).drop("quality", "toxic")
+
+
+def book_index(spark: SparkSession, sf: str) -> PostingIndex:
+    """The stored posting index of the books, kept in the shared folder; built where the table has none yet or has changed."""
+    mark = f"{sf}|{path_age(spark, f'{sf}/part.parquet')}"
+    index = PostingIndex(spark, f"{shared_dir(spark)}/book-postings-{hashlib.sha256(mark.encode()).hexdigest()[:16]}")
+    index.apply("load", catalog_texts(books(spark, sf), ("TITLE", "AU", "SUBJECT", "G")))
+    return index

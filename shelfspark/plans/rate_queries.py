@@ -43,7 +43,7 @@ def limited_hot(spark, sf):
 
 @query("h5_rate_limit_stream", _SQL + _OUT)
 def limited_stream(spark, sf):
-    """The requests arrive in four deliveries, in order of time; the stream keeps its state between them."""
+    """The requests arrive in four deliveries, in order of time, those without one first; the stream keeps its state between them."""
     events = _requests(spark, sf)
     cuts = events.select(F.approx_percentile(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -51,7 +51,7 @@ def limited_stream(spark, sf):
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = events
         part = part if low is None else part.filter(at >= low)
-        part = part if high is None else part.filter(at < high)
+        part = part if high is None else part.filter((at < high) | at.isNull() if low is None else at < high)
         part.write.mode("append").parquet(f"{path}-in")
         source = spark.readStream.schema(events.schema).parquet(f"{path}-in")
         decided = limit_stream(source, "user_id", "ts", "event_id", _MAX, _HOURS * 3600)

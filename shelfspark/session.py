@@ -57,3 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, *columns: str) -> None:
+    """Append ``df`` to a table below ``path`` whose files are dealt by a hash of ``columns``: joins and groupings on them
+    need no exchange of it."""
+    writer = df.write.format("parquet").mode("append").option("path", path)
+    writer.bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(table)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def path_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where the folder is missing."""
+    if not path_exists(spark, path):
+        return []
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(str(f.getPath().getName()) for f in found)
+
+
+def path_age(spark: SparkSession, path: str) -> str:
+    """Length and change times of a file or of the files of a folder, as one text that changes when they do."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,8 +97,21 @@ def test_long_day_keeps_its_positions(spark, part_size):
         "branch string, ord int, phones array<string>, email string, address string, transport string, detail_url string",
     )
     details = spark.createDataFrame([], "branch string, librarian string, address string, transport string, services array<string>")
-    (one,) = D.branch_profile(branches, hours, details).collect()
-    assert [(d["day"], d["hours"]) for d in one["schedule"]] == [("Po", [f"s{i}" for i in range(5)]), ("Út", ["t"])]
+    profile = D.branch_profile(branches, hours, details).orderBy("part").collect()
+    assert [r["part"] for r in profile] == list(range(len(profile))) and {r["hours_url"] for r in profile} == {"/h"}
+    slots = [(d["day"], h) for r in profile for d in r["schedule"] for h in d["hours"]]
+    assert slots == [("Po", f"s{i}") for i in range(5)] + [("Út", "t")]
+    assert all(len(r["schedule"]) <= part_size for r in profile)
+
+
+def test_schedules_with_null_branches_and_days_are_the_same_at_every_size(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice(["A", "B", None]), rng.choice(["Po", "Út", None]), rng.choice([f"s{i}", "", None, "x"]), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "branch string, day string, slot string, ord long")
+    want = sorted(map(str, D.unnest_schedule(D.nest_schedule(df)).collect()))
+    assert len(want) == sum(bool(r[2]) for r in rows)
+    for part_size in (1, 3, 40):
+        assert sorted(map(str, D.unnest_schedule(D.nest_schedule(df, part_size)).collect())) == want
 
 
 @pytest.mark.parametrize(

@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelfspark.operators import prompts as P
+from shelfspark.operators import skew
 from shelfspark.session import scratch_path
 
 PROMPT = "prompt_id long, prompt_text string, answer_text string, conversation_id long, user_feedback boolean, created_at timestamp"
@@ -92,6 +93,21 @@ def test_trim_keeps_system_rows(spark):
     assert sorted(r["turn"] for r in P.trim_messages(df, 50, last_n=1).collect()) == [0, 5]
 
 
+def test_null_roles_and_conversations_stay(spark, monkeypatch):
+    rows = [(None, 0, "assistant", True), (None, 1001, "tool", None), (1, 0, None, None), (1, 1, "tool", None), (1, 2, "assistant", None), (1, 3, "tool", None)]
+    df = spark.createDataFrame(rows, "conversation_id long, turn long, role string, has_tool_calls boolean")
+    want = {
+        (None, 0): None, (None, 1001): None, (1, 0): "unknown_role", (1, 1): "tool_after_other_role", (1, 2): None, (1, 3): "tool_without_call",
+    }
+    for most in (skew.MAX_GROUP_ROWS, 0):
+        monkeypatch.setattr(skew.carry_forward, "__defaults__", (most, 1))
+        got = {(r["conversation_id"], r["turn"]): r["problem"] for r in P.validate_messages(df).collect()}
+        assert got == want
+    kept = P.trim_messages(df.withColumn("content", F.lit("c")), 1).collect()
+    assert sorted(str((r["conversation_id"], r["turn"])) for r in kept) == ["(1, 3)", "(None, 1001)"]
+    assert P.trim_messages(df, 10).count() == len(rows)
+
+
 def test_export_file_has_mark_header_and_quotes(spark):
     path = scratch_path(spark, "export")
     P.export_prompts(prompts(spark), conversations(spark), path)

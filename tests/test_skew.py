@@ -21,28 +21,27 @@ def _rows(spark):
 
 def test_numbered_split_equals_plain(spark):
     data, df = _rows(spark)
-    bucket = F.floor(F.col("o") / 40)
-    split = skew.numbered(df, ["k"], ["o"], bucket, "n", max_group=0)
-    plain = skew.numbered(df, ["k"], ["o"], bucket, "n")
+    split = skew.numbered(df, ["k"], ["o"], "n", max_group=0, rows=20)
+    plain = skew.numbered(df, ["k"], ["o"], "n")
     assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
-    whole = skew.numbered(df, [], ["o"], bucket, "n", max_group=0).orderBy("o").collect()
+    whole = skew.numbered(df, [], ["o"], "n").orderBy("o").collect()
     assert [r["n"] for r in whole] == list(range(1, len(data) + 1))
 
 
 def test_carry_forward_split_equals_plain(spark):
     data, df = _rows(spark)
-    df = df.filter("k IS NOT NULL")
-    split = skew.carry_forward(df, ["k"], ["o"], F.col("v"), F.floor(F.col("o") / 40), "seen", max_group=0)
+    split = skew.carry_forward(df, ["k"], ["o"], F.col("v"), "seen", max_group=0, rows=20)
     last, want = {}, {}
-    for k, o, v in sorted((d for d in data if d[0]), key=lambda d: d[1]):
+    for k, o, v in sorted(data, key=lambda d: d[1]):
         want[o] = last.get(k)
         last[k] = v if v is not None else last.get(k)
-    assert {r["o"]: r["seen"] for r in split.collect()} == want
+    plain = skew.carry_forward(df, ["k"], ["o"], F.col("v"), "seen")
+    assert {r["o"]: r["seen"] for r in split.collect()} == want == {r["o"]: r["seen"] for r in plain.collect()}
 
 
 def test_nest_in_parts_keeps_every_item_in_order(spark):
     data, df = _rows(spark)
-    nested = skew.nest_in_parts(df, ["k"], ["o"], F.floor(F.col("o") / 40), F.col("o"), "items", part_size=50)
+    nested = skew.nest_in_parts(df, ["k"], ["o"], F.col("o"), "items", part_size=50)
     got: dict = {}
     for r in nested.orderBy("k", "part").collect():
         assert len(r["items"]) <= 50
@@ -65,3 +64,17 @@ def test_global_numbers_follow_the_order(spark):
         assert [r["n"] for r in rest] == list(range(len(hot) + 1, len(data) + 1))
         assert [(r["k"], -r["o"]) for r in hot] == sorted(((r["k"], -r["o"]) for r in hot), reverse=True)
     assert skew.globally_numbered(df.limit(0), ["o"], "n").collect() == []
+
+
+def test_cut_points_bound_buckets_whatever_the_values(spark):
+    rng = random.Random(9)
+    spread = {"small": lambda i: i, "sparse": lambda i: i * 10**9, "bent": lambda i: 1.5**i if i < 60 else 10**12 + i, "nulls": lambda i: None if i % 50 == 0 else i}
+    for name, value in spread.items():
+        rows = [("hot", value(i) if value(i) is None else int(value(i)), i) for i in range(3000)] + [(rng.choice("ab"), i, i) for i in range(100)]
+        df = spark.createDataFrame(rows, "k string, o long, tie long")
+        cut = skew.in_order_buckets(df, ["k"], ["o", "tie"], rows=100)
+        sizes = {(r["k"], r["_bucket"]): r["count"] for r in cut.groupBy("k", "_bucket").count().collect()}
+        assert len(sizes) > 12 and max(sizes.values()) < 1200, name
+        assert [r for r in sizes if r[0] != "hot"] and all(b == 0 for k, b in sizes if k != "hot")
+        ordered = cut.filter("k = 'hot'").orderBy(F.asc_nulls_first("o"), "tie").collect()
+        assert [r["_bucket"] for r in ordered] == sorted(r["_bucket"] for r in ordered)

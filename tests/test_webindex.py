@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import webindex as E
+from shelfspark.session import write_bucketed
 from shelfspark.sources import html_pages
 
 CHUNK = "url string, section_heading string, chunk_index int, text string, hash string, ord long"
@@ -210,6 +212,37 @@ def test_reachable_orders_by_depth_and_caps(spark):
     assert [r["url"] for r in E.reachable(df, seeds, max_depth=1).collect()] == ["a", "b", "c"]
 
 
+def test_reachable_from_random_edges_and_a_hub(spark):
+    rng = random.Random(21)
+    edges = [(f"p{rng.randrange(120)}", f"p{rng.randrange(120)}") for _ in range(150)]
+    edges += [("p3", f"h{i}") for i in range(300)] + [(None, "p1"), ("p1", None)]
+    df, near = spark.createDataFrame(edges, "src string, dst string"), {"p0": 0, "p3": 0}
+    level = ["p0", "p3"]
+    while level:
+        level = sorted({b for a, b in edges if a in level and b is not None and b not in near})
+        near.update(dict.fromkeys(level, max(near.values()) + 1))
+    seeds = spark.createDataFrame([("p0",), ("p3",), ("p3",)], "url string")
+    assert {r["url"]: r["depth"] for r in E.reachable(df, seeds).collect()} == near
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("reach_")]
+
+
+def test_a_level_exchanges_neither_edges_nor_found_pages(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = spark.range(2000).selectExpr("concat('p', id % 97) AS src", "cast(id % 4 AS int) AS salt", "concat('p', id % 89) AS dst")
+    found = spark.range(500).selectExpr("concat('p', id) AS url", "cast(id % 3 AS int) AS depth")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_bucketed(edges, "plan_links", f"{tmp_path}/l", n, "src", "salt")
+        write_bucketed(found, "plan_found", f"{tmp_path}/f", n, "url")
+        text = E.next_level(spark.table("plan_links"), spark.table("plan_found"), 2)._jdf.queryExecution().executedPlan().toString()
+        links, pages = [line for line in text.splitlines() if "Scan parquet" in line and "plan_links" in line], text.count("Exchange hashpartitioning")
+        assert len(links) == 1 and pages == 2  # the salted frontier, and what it leads to
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in ("plan_links", "plan_found"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_page_lookup(spark):
     known = spark.createDataFrame([("/a", "A", "x" * 4001), ("/b", "B", "\tmálo"), ("/c", "C", "řádek\n\n\n\n\tdalší dlouhý řádek ")], "slug string, title string, content string")
     asked = spark.createDataFrame([(1, "/a"), (2, "/b"), (3, "/c"), (4, "/d")], "request_id int, slug string")
