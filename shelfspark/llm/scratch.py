@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.session import scratch_path
 
+_ROOM: ContextVar[str | None] = ContextVar("room", default=None)
+
+
+@contextmanager
+def room(spark: SparkSession) -> Iterator[None]:
+    """What :func:`written` writes inside is removed at the end; nothing that is read later may depend on it."""
+    path = scratch_path(spark, "room")
+    token = _ROOM.set(path)
+    try:
+        yield
+    finally:
+        _ROOM.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     Cuts lineage like a checkpoint. The reread table has no known partitioning, so joins on it
-    exchange both sides anew and adaptive execution may split a hot key.
+    exchange both sides anew and adaptive execution may split a hot key. Inside a :func:`room` the table goes
+    with the room, unless it ``stays``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _ROOM.get() and not stays:
+        path = f"{_ROOM.get()}/{path.rsplit('/', 1)[1]}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
