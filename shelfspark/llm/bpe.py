@@ -1,10 +1,10 @@
 """Token ids of whole texts by a public byte-level BPE file, with ids of frequent words remembered.
 
-The ids are those of ``tokenizers`` for the same file (strings of special tokens count as ordinary
-text). Byte-level BPE never merges across the pieces of its splitting pattern, so a text without
+The ids are those of ``tokenizers`` for the same file, strings of added tokens included. Byte-level BPE never merges across the pieces of its splitting pattern, so a text without
 runs of white space is cut at single spaces and line feeds, and each distinct word is encoded once
 per worker. A word seen for the first time is cut by the pattern, and its pieces are remembered too:
-words repeat more without their punctuation. Any other text goes through the tokenizer whole.
+words repeat more without their punctuation. Any other text, and one that holds an added token, goes through
+the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         self.words = _Words(self._word)
         self.pieces: dict[str, bytes] = {}
         self.max_words = max_words
@@ -86,7 +87,7 @@ class WordEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if WHITE_RUN.search(text):
+        if WHITE_RUN.search(text) or self.holds_added(text):
             return self._whole(text)
         first, *rest = text.replace("\n", " \n").split(" ")
         return (self._whole(first) if first else b"") + b"".join(map(self.words.__getitem__, rest))

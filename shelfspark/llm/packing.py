@@ -57,11 +57,12 @@ class SumOfSquares:
         self.n_closed += 1
 
     def add(self, piece: Piece) -> None:
-        while n_ids(piece) >= self.window:
-            full, piece = cut(piece, self.window)
-            self.close([full])
-        if size := n_ids(piece):
-            self._place(piece, size)
+        doc, start, ids, total = piece
+        full = n_ids(piece) // self.window
+        for first in range(0, full * self.window, self.window):
+            self.close([(doc, start + first, ids[first * ID_BYTES : (first + self.window) * ID_BYTES], total)])
+        if size := n_ids(piece) - full * self.window:
+            self._place((doc, start + full * self.window, ids[full * self.window * ID_BYTES :], total), size)
         if self.n_open > self.max_open:
             self.finish(last=False)
 

@@ -16,9 +16,7 @@ SCHEMA = "doc_id long, text string, start string, length int"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(queries.TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.TOKENIZER)
 
 
 def check(rows, out, tokenizer, window=2048):
@@ -96,3 +94,22 @@ def test_level_array_minimises_squares():
         assert packer.n_open == packer.levels.sum() == sum(map(len, packer.open.values()))
     packer.finish()
     assert sum(packing.n_ids(p) for _, w in packer.done for p in w) == sum(p[3] for p in {x[0]: x for _, w in packer.done for x in w}.values())
+
+
+def test_added_tokens_are_read_as_the_tokenizer_reads_them(llm_spark, tokenizer):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", "<|endoftext|><|endoftext|> z", "<|endoftext |>", "a <|endoftext"]
+    encoder = bpe.encoder(queries.TOKENIZER)
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+    rows = list(enumerate(texts))
+    docs = llm_spark.createDataFrame([(d, t, "s", 1) for d, t in rows], SCHEMA)
+    check(rows, packing.pack(docs, queries.TOKENIZER, window=8, end_id=1).collect(), tokenizer, window=8)
+
+
+def test_a_very_long_document_is_cut_in_one_pass():
+    packer = packing.SumOfSquares(window=64)
+    ids = np.arange(3_000_001, dtype="<u4").tobytes()
+    packer.add((1, 0, ids, 3_000_001))
+    assert len(packer.done) == 3_000_001 // 64 and packer.n_open == 1
+    assert b"".join(p[2] for _, ps in packer.done for p in ps) == ids[: 3_000_001 // 64 * 64 * 4]
