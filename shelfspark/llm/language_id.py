@@ -120,13 +120,15 @@ def word_scores(words: list[str], model: Model) -> np.ndarray:
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Language of each word on the path with the highest sum of scores less ``switch`` per change.
 
-    Keeping one language is best whenever no other language gains more than ``switch`` over it in any
-    stretch: m stretches elsewhere cost at least m changes. That is tried first, on whole arrays.
+    Keeping the language of the highest total is best where no other gains more than ``switch`` over it in any stretch,
+    nor two others more than that together in a first and a last stretch: m stretches elsewhere cost at least
+    m changes, and m - 1 if that language has no stretch at all. That is tried first, on whole arrays.
     """
     n, k = scores.shape
     one = int(scores.sum(axis=0).argmax())
     gain = np.vstack([np.zeros(k), np.cumsum(scores - scores[:, [one]], axis=0)])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch:
+    inside = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    if inside <= switch and gain.max() + (gain[-1] - gain).max() <= switch:
         return np.full(n, one)
     best, back = scores[0].tolist(), []
     for row in scores[1:].tolist():

@@ -37,6 +37,18 @@ def test_path_is_best_of_all():
         assert value(scores, lid.best_path(scores, switch).tolist(), switch) == pytest.approx(best), trial
 
 
+def test_two_languages_beat_a_third_that_is_never_best():
+    half = np.array([[0.0, -4.0, -1.9]] * 5)
+    scores = np.vstack([half, half[:, [1, 0, 2]]])
+    assert lid.best_path(scores, 12.0).tolist() == [0] * 5 + [1] * 5
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        scores = -np.abs(rng.normal(size=(8, 3))) * [1.0, 1.0, 0.5]
+        switch = float(rng.choice([0.5, 1.0, 2.0, 4.0]))
+        best = max(value(scores, p, switch) for p in itertools.product(range(3), repeat=8))
+        assert value(scores, lid.best_path(scores, switch).tolist(), switch) == pytest.approx(best)
+
+
 def test_ngrams_stay_inside_words():
     one, owner = lid.grams(["ab", "c"])
     assert sorted(one[owner == 1].tolist()) == sorted(lid.grams(["c"])[0].tolist())
