@@ -32,6 +32,7 @@ THRESHOLD = 0.7
 BLANKS = " \t\n\x0b\x0c\r"
 MARKS = "#*$%&<>@~^=+\\{}[]"
 BLOCK = 256
+MAX_CELLS = 1 << 18
 LEAST_BAD = 0.02
 ROUNDS, STEPS, RATE, PENALTY = 3, 60, 0.3, 1e-3
 
@@ -114,12 +115,21 @@ def forward_backward(scores: np.ndarray, sizes: np.ndarray, field: Field) -> tup
     return marginal, np.array([stays_bad[inside].sum(), stays_good[inside].sum()])
 
 
+def _blocks(features: list[np.ndarray]) -> list[list[int]]:
+    """Numbers of the chains with a line, those of like length together: at most ``BLOCK`` chains and, padded to the
+    longest, at most ``MAX_CELLS`` lines a block (a longer chain is a block of its own)."""
+    blocks: list[list[int]] = []
+    for k in sorted((k for k, f in enumerate(features) if len(f)), key=lambda k: len(features[k])):
+        if not blocks or len(blocks[-1]) == BLOCK or (len(blocks[-1]) + 1) * len(features[k]) > MAX_CELLS:
+            blocks.append([])
+        blocks[-1].append(k)
+    return blocks
+
+
 def marginals(features: list[np.ndarray], field: Field) -> list[np.ndarray]:
     """Per chain (with a line) the marginals of good; chains of like length share a block."""
     out: list[np.ndarray] = [np.zeros(0)] * len(features)
-    order = sorted((k for k, f in enumerate(features) if len(f)), key=lambda k: len(features[k]))
-    for at in range(0, len(order), BLOCK):
-        block = order[at : at + BLOCK]
+    for block in _blocks(features):
         scores, sizes = _padded([features[k] @ field.weights for k in block])
         found, _ = forward_backward(scores, sizes, field)
         for k, row, size in zip(block, found, sizes, strict=True):
@@ -129,11 +139,10 @@ def marginals(features: list[np.ndarray], field: Field) -> list[np.ndarray]:
 
 def fit_field(features: list[np.ndarray], labels: list[int]) -> Field:
     """Maximum likelihood by Adam steps, with the lines of bad documents relabelled between rounds."""
-    order = sorted((k for k, f in enumerate(features) if len(f)), key=lambda k: len(features[k]))
+    blocks = _blocks(features)
     field = Field(np.zeros(len(FEATURES)), np.zeros(2), 0.0)
-    if not order:
+    if not blocks:
         return field
-    blocks = [order[at : at + BLOCK] for at in range(0, len(order), BLOCK)]
     stacked = [np.concatenate([features[k] for k in block]) for block in blocks]
     truth = [np.full(len(features[k]), float(labels[k])) for k in range(len(features))]
     n_lines = sum(map(len, stacked))
@@ -141,7 +150,7 @@ def fit_field(features: list[np.ndarray], labels: list[int]) -> Field:
     for turn in range(ROUNDS):
         if turn:
             found = marginals(features, field)
-            for k in order:
+            for k in (k for block in blocks for k in block):
                 if not labels[k]:
                     truth[k] = (found[k] > 0.5).astype(float)
                     truth[k][np.argmin(found[k])] = 0.0

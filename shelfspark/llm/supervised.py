@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspark.llm.scratch import sample_share, written
 
@@ -34,18 +35,20 @@ def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, folds: int, which: int, bound: int, shard_rows: int,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """``doc_id, text, label, shard`` of at most ``bound`` labelled ids outside fold ``which``, in shards
-    of about ``shard_rows`` rows.
+    """``doc_id, text, label, shard`` of at most ``bound`` labelled ids outside fold ``which``, one row each, dealt
+    evenly over shards of about ``shard_rows`` rows.
 
     The ids are broadcast: ``bound`` is their proven size. Rows with a null label or id take no part; of
-    differing labels of one id the largest counts.
+    differing labels of one id the largest counts, of differing texts the smallest.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("doc_id"), folds) != which)
     )
     chosen = bounded_ids(known.groupBy("doc_id").agg(F.max("label").alias("label")), bound)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sample = written(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    sample = written(found.select("doc_id", "text", "label"), "labelled")
     shards = max(1, sample.count() // shard_rows)
-    shard = F.pmod(F.hash(F.col("doc_id").cast("string"), F.lit(1)), F.lit(shards))
-    return sample.withColumn("shard", shard).repartition(shards, "shard")
+    place = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    dealt = sample.select("doc_id", F.pmod(place, F.lit(shards)).cast("int").alias("shard"))
+    return sample.join(F.broadcast(dealt), "doc_id").repartitionByRange(shards, "shard")

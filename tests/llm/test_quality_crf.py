@@ -93,3 +93,28 @@ def test_sample_is_bounded_and_leaves_out_the_fold(llm_spark):
     sample = supervised.labelled_sample(docs, labels, "quality", 4, 2, 60, 20).collect()
     assert len(sample) == 60
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in sample)
+
+
+def test_a_very_long_text_costs_memory_by_its_own_length():
+    import tracemalloc
+
+    field = crf.Field(np.linspace(-1, 1, len(crf.FEATURES)), np.array([0.4, 0.3]), 0.1)
+    rng = np.random.default_rng(1)
+    chains = [rng.random((n, len(crf.FEATURES))) for n in [1] * 300 + [50_000]]
+    tracemalloc.start()
+    found = crf.marginals(chains, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(f) for f in found] == [len(c) for c in chains]
+    assert peak < 300 * 50_000  # bytes: some hundred a line, not a line for each of 300 texts
+    for k in (0, 300):
+        alone, _ = crf.forward_backward((chains[k] @ field.weights)[None, :], np.array([len(chains[k])]), field)
+        assert np.allclose(alone[0], found[k])
+
+
+def test_repeated_ids_are_one_row_of_the_sample(llm_spark):
+    docs = llm_spark.createDataFrame([(1, f"text {i % 5}") for i in range(100)] + [(3, "b")], "doc_id long, text string")
+    labels = llm_spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    sample = supervised.labelled_sample(docs, labels, "quality", 4, -1, 10, 1)
+    assert sorted((r.doc_id, r.text, r.label) for r in sample.collect()) == [(1, "text 0", 1), (3, "b", 0)]
+    assert sorted(r.shard for r in sample.collect()) == [0, 1]
