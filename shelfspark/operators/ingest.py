@@ -186,10 +186,3 @@ def replace_or_upsert(target: DataFrame, batch: DataFrame, key: str, order: str,
     if mode != "upsert":
         raise ValueError(f"unknown mode {mode}")
     return target.join(latest.select(key), key, "left_anti").unionByName(latest)
-
-
-def swap_in(df: DataFrame, path: str, version: str) -> str:
-    """Write a new version beside the old one and return its path; readers switch once it is complete."""
-    target = f"{path.rstrip('/')}/version={version}"
-    df.write.mode("errorifexists").parquet(target)
-    return target

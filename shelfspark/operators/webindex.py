@@ -12,6 +12,7 @@ from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_link
 from shelfspark.operators.skew import first_per_key
 from shelfspark.session import scratch_path, write_bucketed
 from shelfspark.sources.html_pages import decode_entities
+from shelfspark.sources.keyed_store import KeyedStore
 
 MIN_CHUNK_CHARS = 800
 MAX_CHUNK_CHARS = 2000
@@ -280,6 +281,20 @@ def refresh_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
     return kept.unionByName(latest.join(current.select("id", "hash"), ["id", "hash"], "left_anti"))
 
 
+def refresh_store(store: KeyedStore, version: str, chunks: DataFrame) -> bool:
+    """:func:`refresh_index` on a stored index: only rows that enter, change or go are written, with the buckets they lie in.
+
+    ``store`` holds id, url, section_heading, chunk_index, text, hash, ord and last_crawled, keyed by id. Ids and
+    hashes alone are compared.
+    """
+    fresh = dedup_by_hash(chunks).withColumn("id", chunk_id(chunk_key()))
+    latest = first_per_key(fresh, ["id"], [F.desc("ord")])
+    known = store.read().select("id", "hash")
+    entering = latest.join(known, ["id", "hash"], "left_anti")
+    gone = known.select("id").join(latest.select("id"), "id", "left_anti")
+    return store.merge(version, entering.select(*store.schema.fieldNames()), ["ord"], removed=gone)
+
+
 def run_metrics(pages: DataFrame, new: DataFrame, existing: DataFrame, diff: DataFrame) -> DataFrame:
     """Counters of one refresh: pages, chunks, averages, and what the diff changed."""
     n_pages = pages.agg(F.count(F.lit(1))).scalar()

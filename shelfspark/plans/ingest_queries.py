@@ -11,6 +11,7 @@ from shelfspark.plans.binds import RECORD_FIELDS, with_views
 from shelfspark.plans.registry import query, table
 from shelfspark.session import scratch_path
 from shelfspark.sources import csv_files, marc
+from shelfspark.sources.keyed_store import KeyedStore
 
 _SUB = "struct<_VALUE:string,_code:string>"
 
@@ -216,3 +217,31 @@ def to_index(spark, sf):
     normal = B.normalize_records(binds.records(spark, sf)).withColumn("document", B.embedding_text())
     rows = normal.select(B.record_key("Identifier").alias("id"), "document", F.lit(0).alias("ord"))
     return B.replace_or_upsert(rows, rows, "id", "ord", mode="replace").drop("ord")
+
+
+@query(
+    "b_xml_to_index",
+    f"""WITH records AS (SELECT * FROM ({_MARC_SQL} WHERE doc_id % 30 BETWEEN 12 AND 19))"""
+    + _NORMAL_SQL
+    + f""", fresh AS (SELECT trim(split_part("Identifier", 'CPK:', 2)) AS id, {_EMBED_SQL} AS document FROM normal),
+      stored AS (SELECT CAST(doc_id AS VARCHAR) AS id, 'starší záznam ' || doc_id AS document FROM documents WHERE doc_id % 3 = 0)
+      SELECT * FROM fresh UNION ALL SELECT * FROM stored WHERE id NOT IN (SELECT id FROM fresh)""",
+)
+def xml_to_index(spark, sf):
+    """A harvest from XML files to a stored index: envelopes dated within the window become records, go through the CSV
+    form, are normalised and rendered, and replace or join what the index holds."""
+    folder = scratch_path(spark, "harvest")
+    doc = F.regexp_extract("identifier", "([0-9]+)$", 1).cast("int")
+    dated = _marc_rows(spark, sf).withColumn("datestamp", F.date_add(F.lit("2024-01-01").cast("date"), doc % 30).cast("string"))
+    envelopes = dated.select(F.struct("identifier", "datestamp").alias("header"), F.struct(F.col("marc").alias("record")).alias("metadata"))
+    envelopes.write.format("xml").option("rootTag", "envelopes").option("rowTag", "envelope").save(f"{folder}/xml")
+    harvested = marc.read_envelopes(spark, f"{folder}/xml", "envelope").withColumn("datestamp", F.col("datestamp").cast("timestamp"))
+    records = B.marc_records(B.harvest_window(harvested, "datestamp", "2024-01-20"))
+    csv_files.write_records_csv(records, f"{folder}/csv")
+    normal = B.normalize_records(csv_files.read_records_csv(spark, f"{folder}/csv", RECORD_FIELDS))
+    batch = normal.select(B.record_key("Identifier").alias("id"), B.embedding_text().alias("document"))
+    store = KeyedStore(spark, f"{folder}/index", "id", "id string, document string")
+    stored = table(spark, sf, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"))
+    store.merge("load", stored.withColumn("document", F.concat(F.lit("starší záznam "), "id")))
+    store.merge("harvest", batch)
+    return store.read()

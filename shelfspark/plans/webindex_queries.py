@@ -10,7 +10,9 @@ from shelfspark.plans import binds
 from shelfspark.plans import sqltext as S
 from shelfspark.plans.binds import with_views
 from shelfspark.plans.registry import query, table
+from shelfspark.session import scratch_path
 from shelfspark.sources import html_pages
+from shelfspark.sources.keyed_store import KeyedStore
 
 _BARE = "regexp_replace(url, '[?#].*$', '')"
 _ORIGIN = "lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1))"
@@ -280,6 +282,28 @@ def apply(spark, sf):
     return E.apply_diff(index, with_id(E.chunks_to_add(changes)), with_id(E.chunks_to_remove(changes)))
 
 
+@query(
+    "e12_refresh_store",
+    with_views("docs_old", "docs_new")
+    + f""", n AS (SELECT *, {_ID_SQL} AS id, sha256({S.trim_ws('text')}) AS hash FROM docs_new),
+      once AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY hash ORDER BY ord) = 1),
+      o AS (SELECT {_ID_SQL} AS id, sha256({S.trim_ws('text')}) AS hash FROM docs_old)
+      SELECT id, url, once.hash, CASE WHEN o.id IS NULL THEN '2024-02-01' ELSE '2024-01-01' END AS last_crawled
+      FROM once LEFT JOIN o USING (id, hash)""",
+)
+def refresh_store(spark, sf):
+    """A stored index takes a crawl: only buckets of rows that enter, change or go are rewritten."""
+    def rows(df, crawled):
+        hashed = _hashed(df).withColumn("last_crawled", F.lit(crawled))
+        return hashed.withColumn("id", E.chunk_id(E.chunk_key())).withColumn("ord", F.col("ord").cast("bigint"))
+
+    schema = "id string, url string, section_heading string, chunk_index int, text string, hash string, ord bigint, last_crawled string"
+    store = KeyedStore(spark, scratch_path(spark, "index-store"), "id", schema)
+    store.merge("load", rows(binds.docs_old(spark, sf), "2024-01-01"), ["ord"])
+    E.refresh_store(store, "crawl", rows(binds.docs_new(spark, sf), "2024-02-01").drop("id"))
+    return store.read().select("id", "url", "hash", "last_crawled")
+
+
 @query(
     "e13_run_metrics",
     with_views("docs_old", "docs_new") + _DIFF_SQL
