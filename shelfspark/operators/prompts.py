@@ -13,6 +13,8 @@ from shelfspark.functions.text import strip_markdown
 from shelfspark.operators.skew import carry_forward, nest_in_parts, numbered, top_per_key
 
 PAGE_SIZE = 50
+DEEP_OFFSET = 10_000
+RANGE_BINS = 1024
 MAX_PROMPTS_PER_CONVERSATION = 10
 MAX_HISTORY_MESSAGES = 50
 RECENT_TURNS = 5
@@ -60,14 +62,62 @@ def page_prompts(
 ) -> DataFrame:
     """One page, newest first, with its conversation and the filtered total.
 
-    The page is cut before the join, so only ``limit`` rows look up their parent.
+    The page is cut before the join, so only ``limit`` rows look up their parent. Beyond ``DEEP_OFFSET`` the id at
+    the page's edge is found from counts of id ranges first, so no task holds the rows that are skipped.
     """
     kept = date_range(prompts, "created_at", date_from, date_to)
     total = kept.agg(F.count(F.lit(1))).scalar()
-    page = kept.orderBy(F.desc("prompt_id")).offset(offset).limit(limit)
+    if offset > DEEP_OFFSET:
+        edge = id_at_rank(kept, "prompt_id", offset)
+        if edge is None:
+            return _with_parent(kept.limit(0), conversations).withColumn("total", total)
+        first, above = edge
+        page = kept.filter(F.col("prompt_id") <= first).orderBy(F.desc("prompt_id")).offset(offset - above).limit(limit)
+    else:
+        page = kept.orderBy(F.desc("prompt_id")).offset(offset).limit(limit)
     return _with_parent(page, conversations).withColumn("total", total)
 
 
+def page_before(
+    prompts: DataFrame,
+    conversations: DataFrame,
+    before: int | None = None,
+    limit: int = PAGE_SIZE,
+    date_from: str | None = None,
+    date_to: str | None = None,
+) -> DataFrame:
+    """The ``limit`` newest prompts with an id below ``before`` (all, if none), with conversation and filtered total.
+
+    The last id of a page is the ``before`` of the next one; the bound reaches the scan, so every page costs the same.
+    """
+    kept = date_range(prompts, "created_at", date_from, date_to)
+    total = kept.agg(F.count(F.lit(1))).scalar()
+    older = kept if before is None else kept.filter(F.col("prompt_id") < before)
+    page = older.orderBy(F.desc("prompt_id")).limit(limit)
+    return _with_parent(page, conversations).withColumn("total", total)
+
+
+def id_at_rank(df: DataFrame, name: str, rank: int, bins: int = RANGE_BINS) -> tuple[int, int] | None:
+    """The id at 0-based ``rank`` in descending order and how many ids are above it; None behind the end.
+
+    Each pass counts ids by range, at most ``bins`` of them, and goes on in the range that holds the rank.
+    Null ids come after all others and have no rank.
+    """
+    ends = df.agg(F.min(name).alias("low"), F.max(name).alias("high"), F.count(name).alias("n")).first()
+    if rank >= ends["n"]:
+        return None
+    low, high, above = ends["low"], ends["high"], 0
+    while low < high:
+        width = -(-(high - low + 1) // bins)
+        inside = df.filter(F.col(name).between(low, high)).select(F.floor((F.lit(high) - F.col(name)) / width).cast("int").alias("bin"))
+        for bin_, n in sorted(map(tuple, inside.groupBy("bin").count().collect())):
+            if above + n > rank:
+                high, low = high - bin_ * width, max(low, high - (bin_ + 1) * width + 1)
+                break
+            above += n
+    return low, above
+
+
 def prompts_with_conversation(prompts: DataFrame, conversations: DataFrame) -> DataFrame:
     return _with_parent(prompts, conversations).orderBy(F.desc("prompt_id"))
 

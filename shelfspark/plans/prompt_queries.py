@@ -58,6 +58,18 @@ def page(spark, sf):
     return _text_time(df)
 
 
+@query(
+    "g3_page_before",
+    with_views("prompts", "conversations_dim")
+    + f""" SELECT {_BASE}, conversation_feedback, conversation_message, total FROM (
+        SELECT * FROM (SELECT *, count(*) OVER () AS total FROM prompts{_RANGE_SQL})
+        WHERE prompt_id < 6000 ORDER BY prompt_id DESC LIMIT 30) {_PARENT}""",
+)
+def page_before(spark, sf):
+    conversations = binds.conversations_dim(spark, sf)
+    return _text_time(P.page_before(binds.prompts(spark, sf), conversations, 6000, 30, "2024-01-05", "2024-01-20"))
+
+
 @query(
     "g4_prompts_with_conversation",
     with_views("prompts", "conversations_dim")

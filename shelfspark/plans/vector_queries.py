@@ -158,6 +158,35 @@ def enrich(spark, sf):
     )
 
 
+@query(
+    "d6_enrich_nearest",
+    _BASE_SQL + _top_sql("cosine", 3)
+    + """, n AS (SELECT query_id, rank, p_name AS title, p_type || ' ' || p_name AS description, p_type AS subject FROM top JOIN part ON p_partkey = id),
+      asked AS (SELECT query_id, CASE query_id % 3 WHEN 0 THEN max(title) FILTER (WHERE rank = 2) WHEN 1 THEN max(title) FILTER (WHERE rank = 1) || ' navíc'
+        ELSE 'neznámý titul' END AS bare FROM n GROUP BY query_id),
+      m AS (SELECT query_id, min_by(title, rank) AS source_title, min_by(description || '. Témata: ' || subject, rank) AS enriched
+        FROM asked JOIN n USING (query_id) WHERE contains(title, bare) OR contains(bare, title) GROUP BY query_id)
+      SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'podobné knihy jako ' ELSE '' END || bare AS query,
+        coalesce(enriched, CASE WHEN query_id % 3 = 0 THEN 'podobné knihy jako ' ELSE '' END || bare) AS enriched_query, source_title
+      FROM asked LEFT JOIN m USING (query_id)""",
+)
+def enrich_nearest(spark, sf):
+    """Titles that the catalogue does not know, here an empty one, are looked for among the three nearest vectors."""
+    books = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"),
+        F.concat_ws(" ", "p_type", "p_name").alias("description"), F.col("p_type").alias("subject"),
+    )
+    near = V.knn(_items(spark, sf), _centroids(spark, sf), 3).join(books, "id").select("query_id", "rank", "title", "description", "subject")
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.col("title")))
+    kind = F.col("query_id") % 3
+    text = (
+        F.when(kind == 0, F.concat(F.lit("podobné knihy jako "), at(2))).when(kind == 1, F.concat(at(1), F.lit(" navíc"))).otherwise("neznámý titul")
+    )
+    asked = near.groupBy("query_id").agg(text.alias("query"))
+    found = V.enrich_title_queries(asked, binds.books(spark, sf).limit(0), near)
+    return found.select("query_id", "query", "enriched_query", "source_title")
+
+
 def _titled(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
     return _items(spark, sf).join(parts, "id", "left").withColumn("title", F.coalesce("title", F.lit("?")))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -108,6 +109,29 @@ def test_null_roles_and_conversations_stay(spark, monkeypatch):
     assert P.trim_messages(df, 10).count() == len(rows)
 
 
+def test_deep_pages_and_pages_before_an_id(spark, monkeypatch):
+    rng = random.Random(3)
+    ids = sorted(rng.sample(range(-50, 10**7), 400))
+    p = spark.createDataFrame([(i, "q", "a", i % 7, True, dt.datetime(2024, 1, 1)) for i in ids], PROMPT)
+    c = spark.createDataFrame([(k, 0, True, "m") for k in range(7)], CONVERSATION)
+    newest = ids[::-1]
+    for most in (10**6, 0):
+        monkeypatch.setattr(P, "DEEP_OFFSET", most)
+        for offset in (1, 39, 395, 399, 400, 10**6):
+            page = P.page_prompts(p, c, offset, 10).collect()
+            assert sorted((r["prompt_id"] for r in page), reverse=True) == newest[offset : offset + 10]
+            assert {r["total"] for r in page} <= {400}
+    for bins in (2, 5, 1024):
+        assert [P.id_at_rank(p, "prompt_id", k, bins)[0] for k in (0, 7, 399)] == [newest[0], newest[7], newest[399]]
+    repeated = spark.createDataFrame([(5,), (5,), (5,), (9,), (None,)], "prompt_id long")
+    assert [P.id_at_rank(repeated, "prompt_id", k) for k in range(5)] == [(9, 0), (5, 1), (5, 1), (5, 1), None]
+    before, seen = None, []
+    while rows := P.page_before(p, c, before, 90).collect():
+        seen += sorted((r["prompt_id"] for r in rows), reverse=True)
+        before = seen[-1]
+    assert seen == newest
+
+
 def test_export_file_has_mark_header_and_quotes(spark):
     path = scratch_path(spark, "export")
     P.export_prompts(prompts(spark), conversations(spark), path)
