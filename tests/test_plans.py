@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import pytest
 
-from shelfspark.operators import prompts
+from pyspark.sql import functions as F
+
+from shelfspark.operators import prompts, vectors
 from shelfspark.plans.catalog import QUERIES
 from tests.compare import TESTDATA
 
 SF = f"{TESTDATA}/sf0.001"
 # These run a job while they are built (files, streams, levels), so they are left to the oracle test.
-EAGER = {"h5_rate_limit_stream", "b1_marc_files", "b3_csv_round_trip", "e6_reachable", "h5_rate_limit_hot_keys"}
+EAGER = {
+    "h5_rate_limit_stream", "b1_marc_files", "b3_csv_round_trip", "e6_reachable", "h5_rate_limit_hot_keys", "b_xml_to_index",
+    "c_posting_index", "e12_refresh_store",
+}
 PYTHON = {
-    "d1_knn_cosine", "d2_knn_l2", "d3_knn_approx", "d3_knn_recall", "d4_search_content", "d7_recommend", "d8_find_by_description",
+    "d1_knn_cosine", "d2_knn_l2", "d3_knn_approx", "d3_knn_recall", "d4_search_content", "d6_enrich_nearest", "d7_recommend", "d8_find_by_description",
     "e4_page_facts", "e5_extract_links",  # the two thousand named character references
     "e4_extract_pages", "e_refresh_pages_to_chunks", "e_refresh_index", "h5_rate_limit", "h6_rate_limit_state",
 }
@@ -59,3 +64,25 @@ def test_page_is_cut_before_the_parent_join(spark):
     rows = page.orderBy("prompt_id").collect()
     assert [r["prompt_id"] for r in rows] == [85, 86, 87, 88, 89]
     assert {r["total"] for r in rows} == {100}
+
+
+def test_appended_prompts_are_not_numbered_in_one_task(spark):
+    text = plan(QUERIES["g8_append_prompts"](spark, SF))
+    lines = text.splitlines()
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    assert all("SinglePartition" not in "".join(lines[i : i + 4]) for i in windows)
+
+
+def test_full_vectors_stay_out_of_the_candidate_shuffle(spark):
+    """Only ids and codes of items are dealt over cells; vectors are dealt once, for the exact distances."""
+    items = spark.range(300).selectExpr("id", "transform(sequence(0, 15), x -> cast(sin(id * 31 + x) AS float)) AS vector")
+    fitted = vectors._fit_codebook(items, 3, "l2", 16, 200, 1)
+    book = spark.sparkContext.broadcast(fitted)
+    coded = vectors._coded(items, book, "l2", 16)
+    assert coded.columns == ["cell", "id", "code"]
+    queries = items.filter("id < 5").withColumnRenamed("id", "query_id")
+    schema = vectors._result_type(items, queries)
+    near = vectors._candidates(coded, vectors._probing(queries, book, "l2", 16), book, "l2", schema)
+    exchanges = [line for line in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "FlatMapCoGroups" in line]
+    assert exchanges and near.columns == ["query_id", "id", "distance"]
+    assert near.groupBy("query_id").count().filter(F.col("count") > fitted.refine).isEmpty()
