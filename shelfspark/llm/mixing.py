@@ -208,7 +208,7 @@ def balanced_sample(units: DataFrame, bucket_rows: int = BUCKET) -> DataFrame:
     Within each source the sum of ``prob`` and of ``prob * size`` stay, but for the small landing. Units with equal (source_no, unit, size) must be interchangeable.
     """
     means = units.groupBy("source_no").agg((F.avg("size") * F.lit(LONG)).alias("_long"))
-    split = units.join(F.broadcast(means), "source_no").withColumn("_is_long", F.col("size") > F.col("_long"))
+    split = units.join(means, "source_no").withColumn("_is_long", F.col("size") > F.col("_long"))
     split = split.select(*units.columns, "_is_long")
     long = split.filter("_is_long").drop("_is_long")
     if long.isEmpty():
@@ -301,7 +301,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     )
     own = beside(docs, own_id=F.col(id_col), own_source=F.col(source_col), own_size=word_count(F.col(text_col)), text=F.col(text_col))
     on = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("of")) & (F.col("own_size") == F.col("words"))
-    joined = own.join(taken, on)
+    joined = own.join(taken.hint("merge"), on)  # grows with the documents, so it is never broadcast
     extra = F.col("extra")
     if not groups.filter("n > 1").isEmpty():
         place = F.row_number().over(Window.partitionBy("id", "of", "words").orderBy(F.xxhash64("text")))
