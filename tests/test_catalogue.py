@@ -177,9 +177,9 @@ def vectors(spark, n, dim=8, seed=1, name="id"):
 def test_knn_equals_brute_force(spark, monkeypatch, metric, grid):
     if grid:
         monkeypatch.setattr(V, "MAX_QUERY_BLOCK", 4)
-        monkeypatch.setattr(V, "QUERIES_PER_BLOCK", 3)
         monkeypatch.setattr(V, "QUERY_SLAB", 2)
-        monkeypatch.setattr(V, "ITEMS_PER_PART", 60)
+        monkeypatch.setattr(V, "PART_BYTES", 60 * 8 * 8)
+        monkeypatch.setattr(V, "BLOCK_BYTES", 3 * 8 * 8)
     data, items = vectors(spark, 300)
     asked, queries = vectors(spark, 10, seed=2, name="query_id")
     data, asked = data.astype(np.float32).astype(float), asked.astype(np.float32).astype(float)
