@@ -269,6 +269,16 @@ def test_titles_decode_all_references(spark):
     assert [r["title"] for r in html_pages.extract_pages(pages).orderBy("url").collect()] == ["Otevírací doba á & více", "Untitled", "Untitled"]
 
 
+def test_references_cut_before_their_end_stay(spark):
+    long = "Otev&iacute;rací doba &amp; kontakty &amp pobočky &copy &nesmysl; &#225; &#22 R&D, vše přes padesát znaků."
+    want = "Otevírací doba & kontakty &amp pobočky &copy &nesmysl; á &#22 R&D, vše přes padesát znaků."
+    html = f"<title>Ženy &amp; muži &amp</title><article><h1>Ženy &amp; muži &amp</h1><p>{long}</p></article>"
+    pages = spark.createDataFrame([("https://l.example/a", html)], "url string, html string")
+    got = html_pages.extract_pages(pages).first()
+    assert got["title"] == html_pages.page_facts(pages).first()["title"] == "Ženy & muži &amp"
+    assert [(s["heading"], s["content"]) for s in got["sections"]] == [("Ženy & muži &amp", want)]
+
+
 def test_page_counts_only_in_lower_case(spark):
     text = "Nová budova má 300 STRAN popisu a mnoho dalších slov, která jsou tu jen pro délku, a ještě pár navíc. " * 2
     rows = spark.createDataFrame([(text,), (text.replace("STRAN", "stran"),)], "t string")
