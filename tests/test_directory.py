@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark.functions.grams import containing_pairs
 from shelfspark.operators import directory as D
 
 
@@ -168,6 +169,31 @@ def test_contact_table_equals_parameters(spark):
     assert pick(D.contact_search_table(rows, queries)) == pick(want)
 
 
+def test_contact_table_meets_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(D, "CELL_QUERIES", 2)
+    monkeypatch.setattr(D, "CELL_CONTACTS", 3)
+    rng = random.Random(3)
+    names, texts = ["Jana Nová", "Nová", "pan Jana Nová ml.", "jan", "", None], ["vedení", "vedení, IT", "it", "oddělení it", "", None]
+    rows = [(i // 2, rng.choice(names), rng.choice(texts), rng.choice(texts)) for i in range(60)]
+    asked = [(i, rng.choice(names), rng.choice(texts), rng.choice(texts)) for i in range(30)]
+    known = spark.createDataFrame(rows, "ord long, name string, role string, department string")
+    queries = spark.createDataFrame(asked, "query_id int, name string, role string, department string")
+    want = D.contact_search(known, [dict(zip(("query_id", "name", "role", "department"), q)) for q in asked])
+    pick = lambda df: sorted(map(str, df.select("query_id", "score", "ord", "name", "role", "department").collect()))
+    table = D.contact_search_table(known, queries)
+    assert pick(table) == pick(want)
+    assert "rangepartitioning" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_containing_pairs_of_short_and_long_names(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(40)] + ["x" * 50 + "y", "x" * 40 + "y", None]
+    needles = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 5))) for _ in range(20)] + ["x" * 39 + "y", "x" * 45, None]
+    frames = [spark.createDataFrame([(v,) for v in values], f"{c} string") for c, values in (("t", texts), ("n", needles))]
+    got = [tuple(r) for r in containing_pairs(frames[0], "t", frames[1], "n").collect()]
+    assert sorted(got) == sorted({(t, n) for t in texts if t for n in needles if n and n in t})
+
+
 def test_classify_events_has_no_limit_of_its_own(spark):
     many = spark.range(45).selectExpr("id AS ord", "'t' AS title", "'3. ledna 2024' AS date")
     assert D.classify_events(many, "2024-01-07").count() == 45
