@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.grams import containing_pairs
 from shelfspark.operators import directory as D
+from shelfspark.operators import skew
 
 
 def contacts(spark):
@@ -115,6 +116,20 @@ def test_schedules_with_null_branches_and_days_are_the_same_at_every_size(spark)
         assert sorted(map(str, D.unnest_schedule(D.nest_schedule(df, part_size)).collect())) == want
 
 
+@pytest.mark.parametrize("part_size", [1, 3, 40])
+def test_schedules_are_cut_alike_whether_branches_are_nested_whole_or_not(spark, monkeypatch, part_size):
+    rng = random.Random(13)
+    rows = [(rng.choice(["A", "B", "B", "C", None]), rng.choice(["Po", "Út", "St", None]), f"s{rng.randrange(30)}", i) for i in range(120)]
+    df = spark.createDataFrame(rows, "branch string, day string, slot string, ord long")
+    jobs, plain = [], D.groups_within
+    monkeypatch.setattr(D, "groups_within", lambda *a: jobs.append(a) or plain(*a))
+    monkeypatch.setattr(skew, "groups_within", lambda *a: jobs.append(a) or plain(*a))
+    whole = sorted(map(str, D.nest_schedule(df, part_size).collect()))
+    assert len(jobs) == 1
+    monkeypatch.setattr(D, "WHOLE_BRANCH", 0)
+    assert sorted(map(str, D.nest_schedule(df, part_size).collect())) == whole
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
