@@ -1,9 +1,13 @@
 """Near copies by similarity of word shingles, without comparing texts that only look alike.
 
 Two texts are linked when their sets of five-word shingles have a Jaccard similarity of ``least`` or more.
-Texts of the same words are one class from the start. Then:
+Texts of the same words are one class from the start. Then the operator's SimHash finds what is closest, and the
+rest is completed so that no link is lost:
 
-1. Each class has ``BANDS`` keys of ``ROWS`` min-wise hashes. A class that shares none is done: a pair of
+0. Each class has the SimHash of its shingles. Fingerprints that differ in at most two bits meet by the covering masks of
+   :mod:`shelfspark.llm.simhash`; the sets of those that meet are compared, and the links that hold join their classes before
+   anything else is compared.
+1. Similar texts may differ in more bits, so each class also has ``BANDS`` keys of ``ROWS`` min-wise hashes. A class that shares none is done: a pair of
    similarity 0.8 shares no key in 3 of a million cases, one of 0.9 in none of 10^12.
 2. The sets of all others are written as hashes, and their shingles are counted. In the order of these counts, rarest
    first, two sets that are similar enough must share one of their first ``n - ceil(least n) + 1`` shingles
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.components import components
-from shelfspark.llm.scratch import beside, room, written
+from shelfspark.llm.scratch import beside, room, rows_per_batch, written
+from shelfspark.llm.simhash import fingerprint_of, linked_fingerprints
 
 SEED = 42
 SHINGLE = 5
@@ -46,6 +51,7 @@ MARKS = 8
 FILTER_BITS = 24
 BITMAP_BYTES = 4096
 HASH_STEPS = 1 << 30
+BATCH = 512
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, BANDS * ROWS), dtype=np.uint64)
 FACTORS, OFFSETS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
 
@@ -55,13 +61,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, in order; fewer words than a shingle are one shingle."""
+def all_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of all shingles, repeats included; fewer words than a shingle are one shingle."""
     if not words:
         return np.zeros(0, np.uint64)
     rows = zip(*(words[k:] for k in range(min(shingle, len(words)))), strict=False)
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(row), SEED) for row in rows), dtype=np.uint64))
+    return np.fromiter((digest(b" ".join(row), SEED) for row in rows), dtype=np.uint64)
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, in order."""
+    return np.unique(all_hashes(words, shingle))
 
 
 def keys_of(hashes: np.ndarray) -> list[int]:
@@ -97,13 +108,16 @@ def copy_key(text: Column) -> Column:
 
 
 def _prints(text: Column, shingle: int) -> Column:
-    @F.pandas_udf("copy binary, keys array<bigint>")
+    @F.pandas_udf("copy binary, fp bigint, keys array<bigint>")
     def printed(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
+        copies, fps, keys = [], np.zeros(len(texts), np.uint64), []
+        for k, text in enumerate(texts):
             words = words_of(text)
-            rows.append((xxhash.xxh3_128_digest(b" ".join(words)), keys_of(shingle_hashes(words, shingle))))
-        return pd.DataFrame(rows, columns=["copy", "keys"])
+            hashes = all_hashes(words, shingle)
+            copies.append(xxhash.xxh3_128_digest(b" ".join(words)))
+            fps[k] = fingerprint_of(hashes)
+            keys.append(keys_of(np.unique(hashes)))
+        return pd.DataFrame({"copy": copies, "fp": fps.view(np.int64), "keys": keys})
 
     return printed.asNondeterministic()(text)
 
@@ -159,14 +173,28 @@ def _copy_if_known(text: Column, known: Broadcast) -> Column:
     return keyed.asNondeterministic()(text)
 
 
-def _sets_of_meeting(classes: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """``(cls, n, hashes, m0, ...)``: the shingle sets of the classes that share a min-wise key with another.
+def _close_prints(classes: DataFrame) -> DataFrame:
+    """Pairs ``(lead, other)`` of classes whose fingerprints differ in at most two bits; pairs that are left out are connected
+    by those that are given. One class stands for each fingerprint, and leads the others of the same."""
+    firsts = written(classes.groupBy("fp").agg(F.min("cls").alias("lead")), "prints_first")
+    same = classes.join(firsts, "fp").filter("cls <> lead").select("lead", F.col("cls").alias("other"))
+    near = linked_fingerprints(firsts.select("fp"))
+    of_a = firsts.select(F.col("fp").alias("a"), "lead")
+    of_b = firsts.select(F.col("fp").alias("b"), F.col("lead").alias("other"))
+    apart = near.join(of_a, "a").join(of_b, "b").select("lead", "other")
+    return written(same.unionByName(apart).distinct(), "close")
+
+
+def _sets_of_meeting(classes: DataFrame, close: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """``(cls, n, hashes, m0, ...)``: the shingle sets of the classes that share a min-wise key with another or have
+    a close fingerprint.
 
     A filter of fixed size keeps most other texts out of the exchange before the exact join.
     """
     keyed = classes.select("cls", F.posexplode("keys").alias("band", "key"))
     ends = keyed.groupBy("band", "key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    meeting = keyed.join(ends.filter("low <> high").select("band", "key"), ["band", "key"], "left_semi").select("cls").distinct()
+    meeting = keyed.join(ends.filter("low <> high").select("band", "key"), ["band", "key"], "left_semi").select("cls")
+    meeting = meeting.union(close.select("lead")).union(close.select("other")).distinct()
     few = written(classes.select("cls", "copy").join(meeting, "cls"), "meeting")
     known = docs.sparkSession.sparkContext.broadcast(_known_places(few))
     likely = docs.select(_copy_if_known(F.col(text_col), known).alias("copy"), F.col(text_col).alias("text")).filter("copy IS NOT NULL")
@@ -240,15 +268,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(in_order.mapInPandas(_compared(least), "a bigint, b bigint"), "alike")
 
 
-def _links(sets: DataFrame, least: float) -> DataFrame | None:
-    """``(id, root)`` of the classes that are linked to another; None where no bucket has two members."""
+def _links(sets: DataFrame, close: DataFrame, least: float) -> DataFrame:
+    """``(id, root)`` of the classes that are linked to another: first those of close fingerprints, then all others."""
+    edges, leaders = _alike(close, sets, least), LEADERS
+    roots = components(edges)
     untried = members = _prefix_buckets(sets, least)
-    edges, roots, leaders = None, None, LEADERS
     while True:
-        rooted = members.withColumn("root", F.col("cls"))
-        if roots is not None:
-            named = roots.withColumnRenamed("id", "cls")
-            rooted = members.join(named, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        rooted = members.join(roots.withColumnRenamed("id", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
         waiting = rooted.join(untried, ["h", "cls"], "left_semi")
         by_root = waiting.groupBy("h", "root").agg(F.count(F.lit(1)).alias("held"))
         shape = by_root.groupBy("h").agg(
@@ -267,7 +293,7 @@ def _links(sets: DataFrame, least: float) -> DataFrame | None:
         pairs = both.groupBy(F.least("lead", "other").alias("x"), F.greatest("lead", "other").alias("y")).agg(F.min("lead").alias("lead"))
         pairs = pairs.select("lead", F.when(F.col("lead") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
         alike = _alike(pairs, sets, least)
-        edges = alike if edges is None else edges.unionByName(alike)
+        edges = edges.unionByName(alike)
         roots = components(edges)
         members = rooted.drop("root")
         untried = written(drawn.filter(~F.col("leads")).select("h", "cls"), "untried")
@@ -277,13 +303,12 @@ def _links(sets: DataFrame, least: float) -> DataFrame | None:
 def linked_classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, copy)`` of every document, and ``(copy, first_id, root)`` of every class of equal words."""
     hashed = docs.select(F.col(id_col).alias("doc_id"), _prints(F.col(text_col), shingle).alias("p"))
-    prints = written(hashed.select("doc_id", "p.copy", "p.keys"), "prints")
-    found = prints.groupBy("copy").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"))
+    prints = written(hashed.select("doc_id", "p.copy", "p.fp", "p.keys"), "prints")
+    found = prints.groupBy("copy").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     classes = written(found.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    roots = _links(_sets_of_meeting(classes, docs, text_col, shingle), least)
+    close = _close_prints(classes.select("cls", "fp"))
+    roots = _links(_sets_of_meeting(classes, close, docs, text_col, shingle), close, least)
     plain = classes.select("copy", "first_id", "cls")
-    if roots is None:
-        return prints.select("doc_id", "copy"), plain.select("copy", "first_id", F.col("cls").alias("root"))
     rooted = plain.join(roots.withColumnRenamed("id", "cls"), "cls", "left")
     return prints.select("doc_id", "copy"), rooted.select("copy", "first_id", F.coalesce("root", "cls").alias("root"))
 
@@ -296,7 +321,7 @@ def keep_one(
     A group is what links connect. Texts without words are copies of each other. A null id is kept
     only where the whole group has none. An empty table gives no rows.
     """
-    with room(docs.sparkSession):
+    with room(docs.sparkSession), rows_per_batch(docs.sparkSession, BATCH):
         prints, rooted = linked_classes(docs, id_col, text_col, shingle, least)
         best = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "copy")
         kept = rooted.groupBy("root").agg(F.min(best).alias("best"))

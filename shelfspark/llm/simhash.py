@@ -31,6 +31,15 @@ SHINGLE = 3
 CHUNK = 1 << 16
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingle hashes, repeats included; 0 where there is none."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of a text; 0 where it has no word.
 

@@ -147,3 +147,30 @@ def test_nothing_but_the_result_stays_in_the_shared_folder(llm_spark, tmp_path,
     monkeypatch.setattr(scratch, "scratch_path", lambda spark, name: f"{tmp_path}/{name}-{random.randrange(10**12)}")
     assert kept_of(llm_spark, template(random.Random(7), 30, 1))
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["kept"]
+
+
+def test_close_fingerprints_are_linked_by_the_operator_and_then_checked(llm_spark, monkeypatch):
+    rng, base, rows = random.Random(11), [f"w{i}" for i in range(400)], []
+    for group in range(4):
+        words = [f"{w}_{group}" for w in base]
+        rows += [(group * 10 + k, " ".join(edited(rng, words, 0.97, 0.99))) for k in range(5)]
+    rows.append((90, "one two"))
+    checked, plain = [], near_copies._alike
+
+    def seeing(pairs, sets, least):
+        checked.append({frozenset(r) for r in pairs.select("lead", "other").collect()})
+        return plain(pairs, sets, least)
+
+    monkeypatch.setattr(near_copies, "_alike", seeing)
+    assert kept_of(llm_spark, rows) == plain_kept(rows) == [0, 10, 20, 30, 90]
+    fps = [near_copies.fingerprint_of(near_copies.all_hashes(near_copies.words_of(t))) for _, t in rows]
+    close = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert close and 0 < len(checked[0]) <= len(close)
+
+
+def test_batches_are_small_only_while_the_stage_runs(llm_spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = llm_spark.conf.get(name)
+    with scratch.rows_per_batch(llm_spark, 7):
+        assert llm_spark.conf.get(name) == "7"
+    assert llm_spark.conf.get(name) == before
