@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import mixing, near_copies, packing, quality_crf, quality_rules
 from shelfspark.llm.queries import TOKENIZER, table
-from shelfspark.llm.scratch import written
+from shelfspark.llm.scratch import rows_per_batch, written
+
+ROWS_PER_BATCH = 512
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack(docs, TOKENIZER, window=2048, end_id=1)
+    """Pieces of documents in sequences of 2048 tokens.
+
+    The rows are few and short, so they are written here, while the texts go to Python in small batches.
+    """
+    with rows_per_batch(spark, ROWS_PER_BATCH):
+        return written(packing.pack(docs, TOKENIZER, window=2048, end_id=1), "packed")
 
 
 STAGES = [

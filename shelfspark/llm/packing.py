@@ -11,7 +11,7 @@ two, lengths that need no padding.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ WINDOW = 2048
 END_ID = 1
 MAX_OPEN = 2048
 PARTITION_BITS = 33
-ROWS_PER_BATCH = 10_000
+WINDOWS_PER_BATCH = 256
 FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 #: A piece: document id, ids of the document before it, its ids as bytes, ids of the document.
@@ -141,6 +141,31 @@ def packed_rows(done: list[tuple[int, list[Piece]]], first_id: int) -> Iterator[
             offset += length
 
 
+def packed_batches(
+    batches: Iterator[pa.RecordBatch], encode: Callable[[str | None], bytes], packer: SumOfSquares, ending: bytes, first_id: int
+) -> Iterator[pa.RecordBatch]:
+    """Rows of the pieces of one partition. Closed windows hold their ids until they are given, so few wait."""
+    id_type = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        columns = list(zip(*packed_rows(packer.done, first_id), strict=True))
+        packer.done = []
+        if columns:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=id_type if k == 0 else pa.int64()) for k, c in enumerate(columns)], FIELDS
+            )
+
+    for batch in batches:
+        id_type = batch.schema.field(0).type
+        for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+            ids = encode(text.as_py()) + ending
+            packer.add((doc.as_py(), 0, ids, len(ids) // ID_BYTES))
+            if len(packer.done) >= WINDOWS_PER_BATCH:
+                yield from flush()
+    packer.finish()
+    yield from flush()
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -161,28 +186,8 @@ def pack(
     ending = np.array([end_id], dtype="<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode
-        packer = SumOfSquares(window, max_open)
         first_id = TaskContext.get().partitionId() << PARTITION_BITS
-        schema = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = list(zip(*packed_rows(packer.done, first_id), strict=True))
-            packer.done = []
-            if columns:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=schema if k == 0 else pa.int64()) for k, c in enumerate(columns)], FIELDS
-                )
-
-        for batch in batches:
-            schema = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + ending
-                packer.add((doc.as_py(), 0, ids, len(ids) // ID_BYTES))
-                if len(packer.done) >= ROWS_PER_BATCH:
-                    yield from flush()
-        packer.finish()
-        yield from flush()
+        return packed_batches(batches, encoder(tokenizer_path).encode, SumOfSquares(window, max_open), ending, first_id)
 
     longs = ", ".join(f"{f} long" for f in FIELDS[1:])
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

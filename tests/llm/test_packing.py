@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -113,3 +114,11 @@ def test_a_very_long_document_is_cut_in_one_pass():
     packer.add((1, 0, ids, 3_000_001))
     assert len(packer.done) == 3_000_001 // 64 and packer.n_open == 1
     assert b"".join(p[2] for _, ps in packer.done for p in ps) == ids[: 3_000_001 // 64 * 64 * 4]
+
+
+def test_few_closed_windows_wait_for_their_rows():
+    packer = packing.SumOfSquares(window=64)
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["x" * 255] * 5000})
+    out = packing.packed_batches(iter([texts]), lambda t: t.encode() * 4, packer, b"\1\0\0\0", 7)
+    waiting = [(len(packer.done), b.num_rows) for b in out]
+    assert sum(n for _, n in waiting) == 20000 and max(n for _, n in waiting) <= 2 * packing.WINDOWS_PER_BATCH
