@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.text import WS_LIST, computed_once, contains_any, trim_ws
 from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_links, url_origin
 from shelfspark.operators.skew import first_per_key
-from shelfspark.session import scratch_path, write_bucketed
+from shelfspark.session import scratch_path, shuffled_over, write_bucketed
 from shelfspark.sources.html_pages import decode_entities
 from shelfspark.sources.keyed_store import KeyedStore
 
@@ -21,6 +21,7 @@ MAX_PLAIN_ID_CHARS = 100
 MAX_PAGE_TEXT = 4000
 MIN_PAGE_TEXT = 20
 SALTS = 4
+EDGES_PER_BUCKET = 1_000_000
 
 # Wording of chunk texts.
 CONTINUED = " (pokračování)"
@@ -63,17 +64,20 @@ def reachable(
     The edges are written once, dealt by a hash of page and salt, so a page with very many links lies in ``SALTS``
     buckets; the pages found are dealt by a hash of the page. A level joins the pages of the level before with the
     edges where these lie, and looks its pages up among those found where those lie: only the newly met pages
-    are exchanged. What is written survives a lost executor, and the plan stays short. Within a level
-    pages are taken in url order.
+    are exchanged. The buckets of the edges grow in number with the rows of ``edges``, so none outgrows a task. What is
+    written survives a lost executor, and the plan stays short. Within a level pages are taken in url order.
     """
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place, mark = scratch_path(spark, "reach"), uuid.uuid4().hex
     links, found = f"reach_links_{mark}", f"reach_found_{mark}"
     salt = F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt")
+    dealt = max(buckets, -(-edges.count() // EDGES_PER_BUCKET))
     known = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
     try:
-        write_bucketed(known.select("src", salt, "dst"), links, f"{place}/links", buckets, "src", "salt")
+        with shuffled_over(spark, dealt):
+            salted = known.select("src", salt, "dst").repartition(dealt, "src", "salt")
+            write_bucketed(salted, links, f"{place}/links", dealt, "src", "salt")
         depth, seen = 0, 0
         met = seeds.select("url").distinct()
         while True:

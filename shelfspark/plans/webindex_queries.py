@@ -111,7 +111,7 @@ def links(spark, sf):
 def reach(spark, sf):
     pairs = table(spark, sf, "lineitem").select(
         F.concat(F.lit("p"), "l_partkey").alias("p"), F.concat(F.lit("s"), "l_suppkey").alias("s")
-    ).distinct()
+    )
     edges = pairs.select(F.col("p").alias("src"), F.col("s").alias("dst")).unionByName(
         pairs.select(F.col("s").alias("src"), F.col("p").alias("dst"))
     )

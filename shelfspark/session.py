@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffled_over(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """Jobs started inside exchange rows over ``partitions`` partitions, which are not merged again."""
+    settings = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, *columns: str) -> None:
     """Append ``df`` to a table below ``path`` whose files are dealt by a hash of ``columns``: joins and groupings on them
     need no exchange of it."""

@@ -289,3 +289,13 @@ def test_long_chain_is_walked_to_its_end(spark):
     edges = spark.createDataFrame([(f"p{i:02d}", f"p{i + 1:02d}") for i in range(60)], "src string, dst string")
     seeds = spark.createDataFrame([("p00",)], "url string")
     assert E.reachable(edges, seeds).count() == 61
+
+
+def test_buckets_of_the_edges_grow_with_them(spark, monkeypatch):
+    made, write = [], E.write_bucketed
+    monkeypatch.setattr(E, "EDGES_PER_BUCKET", 50, raising=False)
+    monkeypatch.setattr(E, "write_bucketed", lambda df, table, path, buckets, *c: (made.append(buckets), write(df, table, path, buckets, *c)))
+    edges = spark.range(1000).selectExpr("cast(id div 40 AS string) AS src", "cast(id + 1 AS string) AS dst")
+    seeds = spark.createDataFrame([("0",)], "url string")
+    assert E.reachable(edges, seeds).count() == 1001
+    assert made[0] == 20 and set(made[1:]) == {8} and spark.conf.get("spark.sql.shuffle.partitions") == "8"
