@@ -76,8 +76,16 @@ def ascii_only(c: Column | str) -> Column:
     return trim_ws(F.regexp_replace(_col(c), r"[^\x00-\x7F]", ""))
 
 
+# What a comparison key drops of the first letter blocks.
+KEY_DROPS = "".join(c for c in map(chr, range(0x250)) if not ("a" <= c <= "z" or "0" <= c <= "9" or c in WS_LIST))
+
+
 def comparison_key(c: Column | str) -> Column:
-    return trim_ws(F.regexp_replace(F.lower(_col(c)), rf"[^a-z0-9{WS_CHARS}]", ""))
+    """Lower-case a-z, digits and white space. The pattern is run only where a text still holds other alphabets after
+    the letters of :data:`KEY_DROPS` went one by one, and tries the common letters first."""
+    few = F.translate(F.lower(_col(c)), KEY_DROPS, "")
+    rest = F.regexp_replace(few, rf"[[^a-z0-9 ]&&[^{WS_CHARS}]]", "")
+    return trim_ws(F.when(F.octet_length(few) == F.length(few), few).otherwise(rest))
 
 
 def clean_title(c: Column | str) -> Column:

@@ -98,3 +98,12 @@ def test_url_judgement(spark, value, relevant, fetchable):
 def test_resolve_links(spark, href, want):
     df = spark.createDataFrame([(href, "https://l.example/a/page")], "href string, base string")
     assert U.resolve_links(df, "href", "base", "dst").first()["dst"] == want
+
+
+def test_comparison_key_equals_its_pattern_and_spares_it(spark):
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), 0x1F600]]
+    rows = [(f"a{c}Z 9",) for c in chars] + [("",), (None,), ("\u00a0x\u2003 \u0416\u4e2d!",)]
+    df = spark.createDataFrame(rows, "c string").repartition(8)
+    plain = T.trim_ws(F.regexp_replace(F.lower("c"), rf"[^a-z0-9{T.WS_CHARS}]", ""))
+    assert df.filter(~T.comparison_key("c").eqNullSafe(plain)).isEmpty()
+    assert "translate(" in df.select(T.comparison_key("c"))._jdf.queryExecution().analyzed().toString()
