@@ -19,6 +19,7 @@ from shelfspark.session import path_exists, path_names
 PIECE = 3
 PAD = "\x03"
 BUCKETS = 32
+TEXTS_PER_TASK = 50_000
 POSTINGS = "field string, piece string, id string, sign int, bucket int"
 FREQUENCIES = "field string, piece string, n bigint, bucket int"
 
@@ -77,6 +78,9 @@ class PostingIndex:
         signed = after.select("id", "field", "text", F.lit(1).alias("sign"))
         if before is not None:
             signed = signed.unionByName(before.select("id", "field", "text", F.lit(-1).alias("sign")))
+        # A table of a few MB is read by one task, but its pieces are many times as much.
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-signed.count() // TEXTS_PER_TASK))
+        signed = signed.repartition(tasks, "field", "id", "text")
         rows = signed.select("field", F.explode(pieces(F.col("text"))).alias("piece"), F.col("id").cast("string").alias("id"), "sign")
         self._put(batch, rows.select("field", "piece", "id", "sign", self._bucket()))
         return True

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from shelfspark.operators import search
+from shelfspark.operators import postings, search
 from shelfspark.operators.postings import PostingIndex
 
 BOOKS = "id string, ord long, title string, author string, subject string, year string, publisher string, description string"
@@ -85,3 +85,13 @@ def test_look_up_reads_only_the_folders_of_the_pieces(spark, books, tmp_path):
     needle = spark.createDataFrame([(1, "TITLE", ["abc"])], "query_id int, field string, words array<string>")
     found = index.candidates(needle, "words", ["query_id", "field"])
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_pieces_of_a_small_file_are_taken_by_many_tasks(spark, tmp_path, monkeypatch):
+    texts = spark.range(600).selectExpr("cast(id AS string) AS id", "'G' AS field", "concat('text ', id) AS text").coalesce(1)
+    index, tasks = PostingIndex(spark, str(tmp_path / "p")), []
+    monkeypatch.setattr(postings, "TEXTS_PER_TASK", 50, raising=False)
+    put = index._put
+    monkeypatch.setattr(index, "_put", lambda batch, rows: (tasks.append(rows.rdd.getNumPartitions()), put(batch, rows)))
+    assert index.apply("load", texts) and tasks == [12]
+    assert index.frequencies().filter("piece = 'tex'").first()["n"] == 600
