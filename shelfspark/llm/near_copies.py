@@ -18,8 +18,8 @@ rest is completed so that no link is lost:
    component, since every other pair has a leader in it. The number of leaders grows from round to round, so a large
    group of near copies closes after a few leaders, and a few strangers in it lead themselves.
 4. Members whose sizes, numbers of shared shingles, places of the key or parities of hashed elements exclude the similarity
-   do not meet; each of these bounds is exact. For the others the hashed sets are compared; a leader's set is sent
-   once for a block of its pairs.
+   do not meet; each of these bounds is exact. Two that share many keys meet in the first of them only. For the others the
+   hashed sets are compared; a leader's set is sent once for a block of its pairs.
 
 All links of step 2 on are exact. Tables written on the way are removed at the end.
 """
@@ -46,6 +46,7 @@ LEAST = 0.8
 BANDS, ROWS = 32, 5
 LEADERS, MORE = 1, 8
 PAIRS_PER_BLOCK = 256
+KEYS_SEEN = 64
 CHUNK = 1 << 12
 MARKS = 8
 FILTER_BITS = 24
@@ -238,6 +239,24 @@ def may_be_similar(least: float) -> Column:
     return enough & close & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least) - F.lit(1e-9))
 
 
+def _meetings(rooted: DataFrame, leads: DataFrame, least: float) -> DataFrame:
+    """``(lead, other)`` of the leaders ``(h, cls)`` and the members of their buckets that are of other components.
+
+    Whoever shares many keys with a leader would meet it in each of them. A leader's row names the keys below its own that it
+    leads too, a member's row the keys that it holds, ``KEYS_SEEN`` of the smallest each; where one of these is common, the two have met
+    there. The smallest common key always counts, so no pair is lost; keys that are not named can only repeat one.
+    """
+    smallest = F.slice(F.array_sort(F.collect_set("h")), 1, KEYS_SEEN)
+    led = leads.groupBy("cls").agg(smallest.alias("led"))
+    below = F.filter("led", lambda x: x < F.col("h"))
+    first = rooted.join(leads, ["h", "cls"]).join(led, "cls").withColumn("below", below).drop("led")
+    visited = rooted.join(leads.select("h").distinct(), "h", "left_semi")
+    visited = visited.join(visited.groupBy("cls").agg(smallest.alias("held")), "cls")
+    apart = (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root"))
+    met = first.alias("a").join(visited.alias("b"), apart & may_be_similar(least) & ~F.arrays_overlap("a.below", "b.held"))
+    return met.select(F.col("a.cls").alias("lead"), F.col("b.cls").alias("other"))
+
+
 def _compared(least: float) -> Callable:
     """Rows (lead, block, other, hashes) sorted so that a leader's own set, with a null ``other``, comes before the sets of
     its block of pairs; gives the pairs that are similar enough."""
@@ -287,9 +306,7 @@ def _links(sets: DataFrame, close: DataFrame, least: float) -> DataFrame:
         if drawn.isEmpty():
             return roots
         rooted = written(rooted.join(drawn.select("h").distinct(), "h", "left_semi"), "rooted")
-        first = rooted.join(drawn.filter("leads").select("h", "cls"), ["h", "cls"])
-        met = first.alias("a").join(rooted.alias("b"), (F.col("a.h") == F.col("b.h")) & (F.col("a.root") != F.col("b.root")) & may_be_similar(least))
-        both = met.select(F.col("a.cls").alias("lead"), F.col("b.cls").alias("other"))
+        both = _meetings(rooted, drawn.filter("leads").select("h", "cls"), least)
         pairs = both.groupBy(F.least("lead", "other").alias("x"), F.greatest("lead", "other").alias("y")).agg(F.min("lead").alias("lead"))
         pairs = pairs.select("lead", F.when(F.col("lead") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("other"))
         alike = _alike(pairs, sets, least)

@@ -174,3 +174,34 @@ def test_batches_are_small_only_while_the_stage_runs(llm_spark):
     with scratch.rows_per_batch(llm_spark, 7):
         assert llm_spark.conf.get(name) == "7"
     assert llm_spark.conf.get(name) == before
+
+
+def test_two_that_share_many_keys_meet_once(llm_spark, monkeypatch):
+    rng, rows = random.Random(21), []
+    for group in range(3):
+        words = [f"w{group}_{i}" for i in range(200)]
+        rows += [(group * 100 + k, " ".join(edited(rng, words, 0.72, 0.9))) for k in range(20)]
+    seen, plain = [], near_copies._meetings
+
+    def counting(rooted, leads, least):
+        met = plain(rooted, leads, least)
+        both = {(r.lead, r.other) for r in met.collect()}
+        member, root = {}, {}
+        for r in rooted.collect():
+            member.setdefault(r.h, {})[r.cls] = r
+            root[r.cls] = r.root
+        often = [(r.cls, o) for r in leads.collect() for o in member[r.h] if root[o] != root[r.cls]]
+        seen.append((met.count(), len(both), len(often)))
+        assert both <= set(often)
+        return met
+
+    monkeypatch.setattr(near_copies, "_meetings", counting)
+    assert kept_of(llm_spark, rows) == plain_kept(rows)
+    assert all(met == both for met, both, _ in seen)
+    assert sum(often for _, _, often in seen) > 5 * sum(met for met, _, _ in seen) > 0
+
+
+def test_more_keys_than_are_named_lose_no_pair(llm_spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "KEYS_SEEN", 1)
+    rows = template(random.Random(22), 60, 1) + [(1000 + d, t) for d, t in template(random.Random(23), 60, 2)]
+    assert kept_of(llm_spark, rows) == plain_kept(rows)
