@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import WS_LIST, computed_once, contains_any, trim_ws
 from shelfspark.functions.urls import fetchable_url, normalize_url, resolve_links, url_origin
-from shelfspark.operators.skew import first_per_key
-from shelfspark.session import scratch_path, shuffled_over, write_bucketed
+from shelfspark.operators.skew import first_per_key, with_matches
+from shelfspark.session import cut_lineage, scratch_path, shuffled_over, write_bucketed
 from shelfspark.sources.html_pages import decode_entities
 from shelfspark.sources.keyed_store import KeyedStore
 
@@ -288,15 +288,18 @@ def refresh_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
 def refresh_store(store: KeyedStore, version: str, chunks: DataFrame) -> bool:
     """:func:`refresh_index` on a stored index: only rows that enter, change or go are written, with the buckets they lie in.
 
-    ``store`` holds id, url, section_heading, chunk_index, text, hash, ord and last_crawled, keyed by id. Ids and
-    hashes alone are compared.
+    ``store`` holds id, url, section_heading, chunk_index, text, hash, ord and last_crawled, keyed by id. Ids, hashes and
+    ords alone are compared, once; the texts are joined to what enters.
     """
-    fresh = dedup_by_hash(chunks).withColumn("id", chunk_id(chunk_key()))
-    latest = first_per_key(fresh, ["id"], [F.desc("ord")])
-    known = store.read().select("id", "hash")
-    entering = latest.join(known, ["id", "hash"], "left_anti")
-    gone = known.select("id").join(latest.select("id"), "id", "left_anti")
-    return store.merge(version, entering.select(*store.schema.fieldNames()), ["ord"], removed=gone)
+    named = chunks.withColumn("id", chunk_id(chunk_key()))
+    once = first_per_key(named.select("id", "hash", "ord"), ["hash"], ["ord", "id"])
+    latest = first_per_key(once, ["id"], [F.desc("ord"), "hash"]).withColumn("crawled", F.lit(True))
+    known = store.read().select("id", F.col("hash").alias("known_hash"))
+    same = F.coalesce(F.col("hash") == F.col("known_hash"), F.lit(False))
+    changes = cut_lineage(latest.join(known, "id", "full_outer").filter(~same).select("id", "hash", "ord", "crawled"))
+    entering, gone = changes.filter("crawled"), changes.filter("crawled IS NULL").select("id")
+    batch = with_matches(named, entering, ["id", "hash", "ord"], "left_semi").select(*store.schema.fieldNames())
+    return store.merge(version, batch, ["ord"], removed=gone, keys=entering.select("id"))
 
 
 def run_metrics(pages: DataFrame, new: DataFrame, existing: DataFrame, diff: DataFrame) -> DataFrame:

@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.operators.skew import first_per_key
+from shelfspark.operators.skew import first_per_key, groups_within
 from shelfspark.session import path_exists, path_names
 
 BUCKETS = 32
+#: Tasks that write one bucket, at most; rows of one key in a batch that may meet in one task.
+PARTS, MAX_REPEATS = 16, 1000
+#: Of one key, a row of the batch counts before its removal, and that before the old row.
+ENTERS, GOES, STAYS = 0, 1, 2
 MANIFEST = "bucket int, folder string, number bigint"
 
 
@@ -27,7 +31,10 @@ class KeyedStore:
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col(f"`{self.key}`")), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(self._key()), F.lit(self.buckets)).cast("int")
+
+    def _key(self) -> Column:
+        return F.col(f"`{self.key}`")
 
     def committed(self, version: str) -> bool:
         return path_exists(self.spark, f"{self.path}/manifest/{version}/_SUCCESS")
@@ -57,25 +64,34 @@ class KeyedStore:
             found |= {r[0] for r in df.select(self.bucket().alias("b")).distinct().collect()}
         return sorted(found)
 
-    def merge(self, version: str, batch: DataFrame, order: list | None = None, removed: DataFrame | None = None) -> bool:
+    def merge(self, version: str, batch: DataFrame, order: list | None = None, removed: DataFrame | None = None, keys: DataFrame | None = None) -> bool:
         """Remove the keys in ``removed``, then put the rows of ``batch`` in place of those with their keys; False if done.
 
-        Of batch rows with one key the last in ``order`` (columns, ascending) holds. A null key is a key.
+        Of batch rows with one key the last in ``order`` (columns, ascending) holds. A null key is a key. ``keys`` are those of
+        ``batch``, few rows each, where they are known without computing it. Rows of the batch, old rows and removed keys meet
+        in one exchange, dealt as they are written.
         """
         if self.committed(version):
             return False
         names = self.schema.fieldNames()
         placed = [F.col(o).desc() if isinstance(o, str) else o for o in (order or names)]
-        latest = first_per_key(batch, [self.key], placed).select(*names)
-        gone = batch.select(self.key) if removed is None else batch.select(self.key).union(removed.select(self.key))
+        if keys is None:
+            keys = batch.select(self.key)
+            if not groups_within(keys, [f"`{self.key}`"], MAX_REPEATS):
+                batch = first_per_key(batch, [self.key], placed)
+        gone = None if removed is None else removed.select(self.key).distinct()
         folders, number = self._manifest()
-        buckets = self.touched(gone)
-        stale = gone.distinct().withColumnRenamed(self.key, "_gone")
-        old = self._rows([folders[b] for b in buckets if b in folders])
-        kept = old.join(stale, F.col(f"`{self.key}`").eqNullSafe(F.col("_gone")), "left_anti")
+        buckets = self.touched(keys) if gone is None else self.touched(keys.union(gone))
+        rows = batch.select(*names, F.lit(ENTERS).alias("_kind"))
+        old = [folders[b] for b in buckets if b in folders]
+        if old:
+            rows = rows.unionByName(self._rows(old).select(*names, F.lit(STAYS).alias("_kind")))
+            if gone is not None:
+                rows = rows.unionByName(gone.withColumn("_kind", F.lit(GOES)), allowMissingColumns=True)
         place = f"{self.path}/data/{version}"
-        rows = kept.select(*names).unionByName(latest).withColumn("_bucket", self.bucket())
-        rows.hint("rebalance", "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(place)
+        dealt = rows.withColumns({"_bucket": self.bucket(), "_part": F.pmod(F.xxhash64(F.lit("part"), self._key()), F.lit(PARTS))})
+        last = first_per_key(dealt.repartition("_bucket", "_part"), ["_bucket", "_part", self._key()], ["_kind", *placed])
+        last.filter(F.col("_kind") != GOES).select(*names, "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(place)
         for b in buckets:
             folder = f"{place}/_bucket={b}"
             folders.pop(b, None)

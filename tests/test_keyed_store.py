@@ -67,3 +67,47 @@ def test_refresh_of_a_store_equals_refresh_of_a_table(spark, tmp_path):
     assert E.refresh_store(store, "crawl", new)
     want = E.refresh_index(index, new).select(*store.read().columns)
     assert sorted(map(str, store.read().collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_merge_exchanges_its_rows_once(spark, tmp_path):
+    """Bytes that all tasks send to others: old rows and the batch pass one exchange, what decides is narrow."""
+    chunk = "url string, section_heading string, chunk_index int, text string, hash string, ord bigint, last_crawled string"
+    body = F.expr("array_join(transform(sequence(1, 60), i -> sha2(cast(id * 100 + i as string), 256)), '')")
+    rows = spark.range(0, 2000, 1, 4).select("id", body.alias("text")).selectExpr(
+        "concat('u', id) AS url", "'h' AS section_heading", "0 AS chunk_index", "text", "sha2(text, 256) AS hash", "id AS ord", "'1' AS last_crawled"
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    made = spark.read.schema(chunk).parquet(str(tmp_path / "rows"))
+    store = KeyedStore(spark, str(tmp_path / "s"), "id", made.withColumn("id", E.chunk_id(E.chunk_key())).schema, buckets=8)
+    revised = made.filter("ord % 10 <> 3").withColumn("text", F.when(F.col("ord") % 2 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    revised = revised.withColumns({"hash": F.sha2("text", 256), "last_crawled": F.lit("2")})
+    # No automatic broadcasts: what is small here is not at size.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = 2000 * 60 * 64
+        sent = [shuffled(spark, lambda: store.merge("load", made.withColumn("id", E.chunk_id(E.chunk_key())), ["ord"]))]
+        sent.append(shuffled(spark, lambda: E.refresh_store(store, "crawl", revised)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        if before[1] is None:
+            spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        else:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", before[1])
+    assert 0.3 * text < sent[0] < 1.3 * text and sent[1] < 3 * text, [s / text for s in sent]
+    got = {r.ord: (r.last_crawled, r.text[-1]) for r in store.read().collect()}
+    assert sorted(got) == [i for i in range(2000) if i % 10 != 3]
+    assert all((day, last == "x") == (("2", True) if i % 2 == 0 else ("1", False)) for i, (day, last) in got.items())
+
+
+def shuffled(spark, job):
+    """Bytes written to exchanges while ``job`` runs."""
+    def total():
+        quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    start = total()
+    job()
+    return total() - start
