@@ -200,6 +200,22 @@ def test_contact_table_meets_in_small_cells(spark, monkeypatch):
     assert "rangepartitioning" not in table._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contact_names_are_compared_only_where_they_meet_a_query(spark, monkeypatch):
+    meeting, parts = D._meeting, []
+    monkeypatch.setattr(D, "_meeting", lambda asked, known, kinds: parts.append(known) or meeting(asked, known, kinds))
+    names = ["Jana Nová", "Nová", "Cizí", "pan Jana Nová ml.", "", None]
+    rows = [(i // 3 if i % 7 else None, names[i % 6], ("it", "vedení", None)[i % 3], ("oddělení it", "")[i % 2]) for i in range(48)]
+    asked = [(1, "Jana Nová", "it", None), (2, None, "vedení", "it"), (3, "nikdo", None, "oddělení"), (4, "", "it", ""), (4, "Nová", "it", "it")]
+    known = spark.createDataFrame(rows, "ord long, name string, role string, department string")
+    queries = spark.createDataFrame(asked, "query_id int, name string, role string, department string")
+    want = D.contact_search(known, [dict(zip(("query_id", "name", "role", "department"), q)) for q in asked])
+    pick = lambda df: sorted(map(str, df.select("query_id", "score", "ord", "name", "role", "department").collect()))
+    assert pick(D.contact_search_table(known, queries)) == pick(want)
+    of = [{r["name"] for r in part.collect()} for part in parts]
+    assert of == [{"Cizí", "", None}, {"Jana Nová", "Nová", "pan Jana Nová ml."}]
+    assert sum(part.count() for part in parts) == len(rows)
+
+
 def test_containing_pairs_of_short_and_long_names(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(0, 9))) for _ in range(40)] + ["x" * 50 + "y", "x" * 40 + "y", None]
